@@ -4,16 +4,18 @@ A window is ``width`` consecutive words of one document. Words go that are cover
 in a document with a smaller id; windows are judged on the input.
 
 1. Anchors. The anchor of a window is the least hash among its runs of ``RUN`` words: equal windows have equal anchors,
-   and neighbouring windows mostly share theirs, so a document has an anchor for about 20 words. An anchor in one
-   document only rules out its windows; the documents with anchors in several are stored.
-2. Confirmation. The windows at recurring anchors are grouped by their hash: least document and first place in it, and
-   greatest document. Where the two documents differ, the passage recurs and the least document owns it. Counting is
-   partial before the shuffle, so a window in a third of all documents is a row from each task.
-3. Automata. Documents that hold an owner's window are dealt in blocks of bounded size; each block gets every passage
-   that it needs once, however many of its documents share it, and so no passage is a hot key. A block compiles its own
-   Aho-Corasick automaton over word numbers: a passage is cut into pieces of half a window, one of which lies whole in
-   any window of the passage. Its documents are streamed through the automaton; every hit is extended to both sides
-   by comparing words, and extents of at least ``width`` words are covered. So hashes only propose: words decide.
+   and neighbouring windows mostly share theirs. A segment is a run of windows with one anchor; a document has one for
+   about 20 words. An anchor in one document only rules out its windows. Equal segments are owned by the least document,
+   which covers all others that have them, so only the owners of segments go on, and only where an anchor has several.
+2. Confirmation. The windows of those segments are grouped by their hash: least and greatest document. Where the two differ, the window recurs and the least document owns it. Counting is partial
+   before the shuffle, so a segment or window in a third of all documents is a row from each task.
+3. Automata. Documents that hold recurring anchors are dealt in blocks of bounded size; each block gets every owned
+   passage that it needs once, however many of its documents share it, and so no passage is a hot key. A block compiles
+   its own Aho-Corasick automaton over word numbers: a passage is cut into pieces of half a window, one of which lies
+   whole in any window of the passage. Its documents are streamed through the automaton; every hit is extended to both
+   sides by comparing words, and extents of at least ``width`` words are covered. So hashes only propose: words decide.
+
+Whole texts are shuffled once, to the marks of their document, and stored; what grows with the input is never broadcast.
 
 Null texts have no words. Rows without a key are never compared and keep all words. Rows that repeat a key are judged
 one by one, but not against each other. Columns beside key and text are not read. Empty tables give empty results.
@@ -30,10 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import block_count, block_of, chunks, stored, utf8
-from .words import window_hashes, word_hashes
+from .words import span_hashes, window_hashes, word_hashes
 
 #: Words of a run that anchors are made of.
 RUN = 10
+_NONE = np.zeros(0, np.uint64)
 
 
 def _anchors(words: np.ndarray, width: int) -> np.ndarray:
@@ -50,36 +53,63 @@ def _anchors(words: np.ndarray, width: int) -> np.ndarray:
     return low
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
+def _segments(words: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows with one anchor: anchors, hashes of all their words, first windows, numbers of windows."""
+    anchors = _anchors(words, width)
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(anchors)), bool), anchors[1:] != anchors[:-1]]))
+    after = np.concatenate([first[1:], np.full(min(1, len(first)), len(anchors), dtype=first.dtype)])
+    return anchors[first], span_hashes(words, first, after + width - 1), first, after - first
 
 
-def _anchor_rows(docs: DataFrame, width: int) -> DataFrame:
+def _places(words: np.ndarray, width: int, wanted: np.ndarray) -> np.ndarray:
+    """The windows of the segments whose hashes are wanted."""
+    _, hashes, first, sizes = _segments(words, width)
+    found = np.isin(hashes, wanted)
+    first, sizes = first[found], sizes[found]
+    return np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
+def _signed(parts: list[np.ndarray]) -> pa.Array:
+    return pa.array(np.concatenate([_NONE, *parts]).view(np.int64))
+
+
+def _hashes(column: pa.Array) -> list[np.ndarray]:
+    return [np.array(x or [], dtype=np.int64).view(np.uint64) for x in column.to_pylist()]
+
+
+def _segment_rows(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            found = [np.unique(_anchors(word_hashes(x), width)) for x in utf8(batch, "text")]
-            ids = np.repeat(batch.column("id").to_numpy(), [len(x) for x in found])
-            yield pa.RecordBatch.from_arrays([_signed(np.concatenate([*found, np.zeros(0, np.uint64)])), pa.array(ids, pa.int64())], names=["anchor", "id"])
+            anchors, segments, sizes = [], [], []
+            for raw in utf8(batch, "text"):
+                a, s, _, _ = _segments(word_hashes(raw), width)
+                s, once = np.unique(s, return_index=True)
+                anchors.append(a[once])
+                segments.append(s)
+                sizes.append(len(s))
+            ids = np.repeat(batch.column("id").to_numpy(), sizes)
+            yield pa.RecordBatch.from_arrays([_signed(anchors), _signed(segments), pa.array(ids, pa.int64())], names=["anchor", "segment", "id"])
+
+    return docs.where("id IS NOT NULL").mapInArrow(run, "anchor long, segment long, id long")
+
 
-    return docs.where("id IS NOT NULL").mapInArrow(run, "anchor long, id long")
+def _open_windows(words: np.ndarray, width: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct windows of the wanted segments, as hashes in rising order, and the first place of each."""
+    at = _places(words, width, wanted)
+    found, first = np.unique(span_hashes(words, at, at + width), return_index=True)
+    return found, at[first]
 
 
 def _window_rows(marked: DataFrame, width: int) -> DataFrame:
-    """The distinct windows of each stored document at its recurring anchors, with their first place."""
+    """The distinct windows of each document in its open segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            hashes, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for text, anchors in zip(utf8(batch, "text"), batch.column("anchors"), strict=True):
-                words = word_hashes(text)
-                at = np.flatnonzero(np.isin(_anchors(words, width), anchors.values.to_numpy().view(np.uint64)))
-                found, first = np.unique(window_hashes(words, width)[at], return_index=True)
-                hashes.append(found)
-                places.append(at[first])
-            ids = np.repeat(batch.column("id").to_numpy(), [len(x) for x in hashes[1:]])
-            yield pa.RecordBatch.from_arrays([_signed(np.concatenate(hashes)), pa.array(ids, pa.int64()), pa.array(np.concatenate(places), pa.int64())], names=["hash", "id", "place"])
+            hashes = [_open_windows(word_hashes(raw), width, wanted)[0] for raw, wanted in zip(utf8(batch, "text"), _hashes(batch.column("open")), strict=True)]
+            ids = np.repeat(batch.column("id").to_numpy(), [len(x) for x in hashes])
+            yield pa.RecordBatch.from_arrays([_signed(hashes), pa.array(ids, pa.int64())], names=["hash", "id"])
 
-    return marked.mapInArrow(run, "hash long, id long, place long")
+    return marked.where("size(open) > 0").select("id", "text", "open").mapInArrow(run, "hash long, id long")
 
 
 def _passages(owners: DataFrame, width: int) -> DataFrame:
@@ -88,15 +118,18 @@ def _passages(owners: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             ids, made = [], []
-            for owner, text, places in zip(batch.column("owner").to_pylist(), utf8(batch, "text"), batch.column("places"), strict=True):
-                words, at = text.split(), np.unique(places.values.to_numpy())
-                cuts = np.flatnonzero(np.diff(at) > 1) + 1
-                for part in np.split(at, cuts):
-                    ids.append(owner)
-                    made.append(b" ".join(words[part[0] : part[-1] + width]))
+            columns = batch.column("id").to_pylist(), utf8(batch, "text"), *(_hashes(batch.column(c)) for c in ("open", "shared", "windows"))
+            for owner, raw, wanted, shared, confirmed in zip(*columns, strict=True):
+                words, hashes = raw.split(), word_hashes(raw)
+                found, at = _open_windows(hashes, width, wanted)
+                at = np.union1d(_places(hashes, width, shared), at[np.isin(found, confirmed)])
+                for part in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
+                    if len(part):
+                        ids.append(owner)
+                        made.append(b" ".join(words[part[0] : part[-1] + width]))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(made, pa.binary())], names=["owner", "passage"])
 
-    return owners.mapInArrow(run, "owner long, passage binary")
+    return owners.select("id", "text", "open", "shared", "windows").mapInArrow(run, "owner long, passage binary")
 
 
 class Automaton:
@@ -146,23 +179,29 @@ def dedup(docs: DataFrame, width: int = 50, key: str = "doc_id", text: str = "te
     """(key, n_words, n_removed, kept): for each row its count of words, of removed ones, and the rest joined by a blank as UTF-8."""
     docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     schema = "id long, n_words long, n_removed long, kept binary"
-    anchors = stored(_anchor_rows(docs, width), "anchors")
-    recurring = anchors.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("anchor")
-    marks = anchors.join(recurring, "anchor").groupBy("id").agg(F.collect_set("anchor").alias("anchors"))
-    marked = stored(docs.join(marks, "id"), "marked")
+    rows = stored(_segment_rows(docs, width), "segments")
+    recurring = rows.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b"), (F.min("segment") < F.max("segment")).alias("several")).where("a < b").select("anchor", "several")
+    owned = rows.join(recurring.hint("merge"), "anchor").groupBy("segment").agg(F.max("several").alias("several"), F.min("id").alias("owner"), F.max("id").alias("last"))
+    owned = stored(owned, "owned")
+    copies = rows.join(owned.where("owner < last").select("segment", "owner").hint("merge"), "segment").where("owner < id").select("id", "owner").distinct()
+    copies = stored(copies, "copies")
+
+    lists = owned.where("several OR owner < last").groupBy(F.col("owner").alias("id")).agg(F.collect_set(F.when(F.col("several"), F.col("segment"))).alias("open"), F.collect_set(F.when(F.col("owner") < F.col("last"), F.col("segment"))).alias("shared"))
+    marks = lists.join(copies.select("id").distinct().hint("merge"), "id", "full").select("id", F.lit(True).alias("marked"), F.coalesce("open", F.array().cast("array<long>")).alias("open"), F.coalesce("shared", F.array().cast("array<long>")).alias("shared"))
+    every = stored(docs.join(marks.hint("merge"), "id", "left"), "marked")
+    marked = every.where("marked")
 
     windows = _window_rows(marked, width)
-    confirmed = windows.groupBy("hash").agg(F.min(F.struct("id", "place")).alias("own"), F.max("id").alias("z")).where("own.id < z").select("hash", F.col("own.id").alias("owner"), F.col("own.place").alias("place"))
-    confirmed = stored(confirmed, "confirmed")
-    wanted = stored(windows.join(confirmed, "hash").where("owner < id").select("id", "owner").distinct(), "wanted")
+    confirmed = stored(windows.groupBy("hash").agg(F.min("id").alias("owner"), F.max("id").alias("last")).where("owner < last").select("hash", "owner"), "confirmed")
+    others = windows.join(confirmed.hint("merge"), "hash").where("owner < id").select("id", "owner")
+    wanted = copies.union(others).distinct()
 
-    places = confirmed.groupBy("owner").agg(F.collect_list("place").alias("places"))
-    passages = _passages(marked.select(F.col("id").alias("owner"), "text").join(places, "owner"), width)
+    own = confirmed.groupBy(F.col("owner").alias("id")).agg(F.collect_list("hash").alias("windows"))
+    passages = _passages(marked.join(own.hint("merge"), "id", "left").where("size(shared) > 0 OR windows IS NOT NULL"), width)
 
-    checked = wanted.select("id").distinct()
-    blocks = block_count(checked.count())
-    needed = wanted.select(block_of(F.col("id"), blocks).alias("block"), "owner").distinct().join(passages, "owner")
-    bodies = marked.join(checked, "id", "left_semi").select(block_of(F.col("id"), blocks).alias("block"), "id", "text")
+    blocks = block_count(marked.count())
+    needed = wanted.select(block_of(F.col("id"), blocks).alias("block"), "owner").distinct().join(passages.hint("merge"), "owner")
+    bodies = marked.select(block_of(F.col("id"), blocks).alias("block"), "id", "text")
 
     def locate(rows: pa.Table, held: pa.Table) -> pa.Table:
         machine = Automaton(list(zip(held["owner"].to_pylist(), held["passage"].to_pylist(), strict=True)), width)
@@ -182,5 +221,5 @@ def dedup(docs: DataFrame, width: int = 50, key: str = "doc_id", text: str = "te
             words = [x.split() for x in utf8(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(x) for x in words], pa.int64()), pa.array([0] * len(words), pa.int64()), pa.array([b" ".join(x) for x in words], pa.binary())], names=["id", "n_words", "n_removed", "kept"])
 
-    rest = docs.join(checked, "id", "left_anti").mapInArrow(whole, schema)
+    rest = every.where("marked IS NULL").select("id", "text").mapInArrow(whole, schema)
     return located.unionByName(rest).withColumnRenamed("id", key)

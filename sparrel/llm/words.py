@@ -62,12 +62,15 @@ def word_hashes(raw: bytes) -> np.ndarray:
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
-    """A 64-bit hash of each run of ``width`` consecutive words; empty if there are fewer."""
-    n = len(words) - width + 1
-    if n < 1:
-        return np.zeros(0, dtype=np.uint64)
+def span_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the words from each start to before its end."""
     up, down = _words.upto(len(words) + 1)
     sums = np.zeros(len(words) + 1, dtype=np.uint64)
     np.cumsum(words * up[: len(words)], out=sums[1:])
-    return mix((sums[width:] - sums[:n]) * down[:n])
+    return mix((sums[ends] - sums[starts]) * down[starts])
+
+
+def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit hash of each run of ``width`` consecutive words; empty if there are fewer."""
+    starts = np.arange(max(0, len(words) - width + 1))
+    return span_hashes(words, starts, starts + width)
