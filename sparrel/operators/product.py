@@ -103,7 +103,7 @@ def segment_mm(rows: DataFrame, lengths: DataFrame, bank: DataFrame, width: int,
         raise ValueError(f"the segments hold {total} rows, but there are {n}")
     # each segment names its own rows, so that the join has a key
     named = segments(lengths).where("stop > start").select(F.col("s").alias("idx"), F.explode(F.sequence("start", F.col("stop") - 1)).alias("i"))
-    return gather_mm(rows.join(named, "i").select("i", "idx", "vec"), bank, width, d_in)
+    return gather_mm(rows.select("i", "vec").join(named, "i").select("i", "idx", "vec"), bank, width, d_in)
 
 
 def gather_mm_vjp(rows: DataFrame, bank: DataFrame, g: DataFrame, width: int, d_in: int) -> tuple[DataFrame, DataFrame]:

@@ -45,7 +45,7 @@ def _grouped(entries: DataFrame, groups: DataFrame, keys: list[str]) -> DataFram
     top = F.when(F.col("_zeros") > 0, F.greatest(F.coalesce("_top", F.lit(0.0)), F.lit(0.0))).otherwise(F.col("_top"))
     at = at.withColumn("_shift", F.when(top.isNull() | (F.abs(top) == _inf()), F.lit(0.0)).otherwise(top)).select(*keys, "_zeros", "_shift")
     sums = entries.join(at.select(*keys, "_shift"), keys).groupBy(*keys).agg(F.sum(F.exp(F.col("val") - F.col("_shift"))).alias("_sum"))
-    total = F.coalesce("_sum", F.lit(0.0)) + F.col("_zeros") * F.exp(-F.col("_shift"))
+    total = F.coalesce("_sum", F.lit(0.0)) + F.when(F.col("_zeros") > 0, F.col("_zeros") * F.exp(-F.col("_shift"))).otherwise(0.0)
     return at.join(sums, keys, "left").select(*keys, F.when(total == 0, _inf("-")).otherwise(F.col("_shift") + F.log(total)).alias("lse"))
 
 
