@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,52 +38,50 @@ _NUMBER = re.compile(rb"[0-9][0-9.,:/]*([a-z%]*)$")
 _MEMO_WORDS = 400_000
 
 
+def _plain(word: bytes) -> bytes:
+    return (word.strip(_EDGES) or word).decode().lower().encode()
+
+
 class _Words(dict):
-    """Word to (hash of its plain form, plain form, kind it may have, whether a sentence ends with it)."""
+    """Word to one number: a hash of its plain form, the kind it may have, whether a sentence ends with it (1 bit)."""
 
-    def __missing__(self, word: bytes) -> tuple[int, bytes, int, bool]:
-        bare = word.strip(_EDGES) or word
-        text = bare.decode()
-        plain = text.lower().encode()
+    def __missing__(self, word: bytes) -> int:
+        plain = _plain(word)
         number = _NUMBER.match(plain)
-        kind = NUMBER if number and (not number[1] or number[1].decode() in UNITS) else UNIT if plain.decode() in UNITS else NAME if text[:1].isupper() else PLAIN
-        made = (_hashed(plain), plain, kind, word.rstrip(b"\"')]").endswith((b".", b"!", b"?", b":")))
+        if number and (not number[1] or number[1].decode() in UNITS):
+            kind = NUMBER
+        elif plain.decode() in UNITS:
+            kind = UNIT
+        else:
+            kind = NAME if (word.strip(_EDGES) or word).decode()[:1].isupper() else PLAIN
+        made = xxhash.xxh3_64_intdigest(plain) & ~15 | kind << 1 | word.rstrip(b"\"')]").endswith((b".", b"!", b"?", b":"))
         if len(self) >= _MEMO_WORDS:
             self.clear()
         self[word] = made
         return made
 
 
-def _hashed(plain: bytes) -> int:
-    """FNV-1a in 64 bits."""
-    h = 0xCBF29CE484222325
-    for b in plain:
-        h = ((h ^ b) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
-    return h
-
-
 _memo = _Words()
 #: What stands for each kind.
-_HOLDERS = np.array([_hashed(x) for x in (b"", b"<number>", b"<name>", b"<unit>")], dtype=np.uint64)
-
-
-def template(raw: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Template hashes of the words of a text, their kinds, and their plain forms."""
-    found = [_memo[w] for w in raw.split()]
-    if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), []
-    hashes, plain, kinds, ends = zip(*found, strict=True)
-    kind = np.array(kinds, dtype=np.int64)
-    after = np.concatenate([[True], np.array(ends[:-1], dtype=bool)])
-    number = np.concatenate([[False], kind[:-1] == NUMBER])
+_HOLDERS = mix(np.arange(1, 5, dtype=np.uint64))
+
+
+def template(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Template hashes of the words of a text, and their kinds."""
+    codes = np.array(list(map(_memo.__getitem__, words)), dtype=np.uint64)
+    kind = ((codes >> np.uint64(1)) & np.uint64(7)).astype(np.int64)
+    after = np.ones(len(codes), dtype=bool)
+    after[1:] = codes[:-1] & np.uint64(1)
+    number = np.zeros(len(codes), dtype=bool)
+    number[1:] = kind[:-1] == NUMBER
     kind[(kind == NAME) & after] = PLAIN
     kind[(kind == UNIT) & ~number] = PLAIN
-    return np.where(kind == PLAIN, mix(np.array(hashes, dtype=np.uint64)), _HOLDERS[kind]), kind, list(plain)
+    return np.where(kind == PLAIN, codes >> np.uint64(4), _HOLDERS[kind]), kind
 
 
 def _window_marks(raw: bytes, lengths: list[int]) -> np.ndarray:
     """The hashes that stand for a text: of neighbours the least, and every window of ``lengths`` words."""
-    hashes, kinds, _ = template(raw)
+    hashes, kinds = template(raw.split())
     plain = np.concatenate([[0], np.cumsum(kinds == PLAIN)])
     marks = [np.zeros(0, np.uint64)]
 
@@ -94,7 +93,12 @@ def _window_marks(raw: bytes, lengths: list[int]) -> np.ndarray:
     low = windows(WINDOW)
     turn = SPAN - WINDOW + 1
     if len(low) >= turn:
-        marks.append(np.lib.stride_tricks.sliding_window_view(low, turn).min(axis=1))
+        have = 1
+        while have < turn:
+            step = min(have, turn - have)
+            low = np.minimum(low[:-step], low[step:])
+            have += step
+        marks.append(low)
     marks += [windows(n) for n in lengths]
     out = np.unique(np.concatenate(marks))
     return out[out != np.uint64(0xFFFFFFFFFFFFFFFF)]
@@ -126,8 +130,9 @@ def _consistent(item: list[bytes], doc: list[bytes], slots: np.ndarray) -> list[
 
 def aligned(doc: bytes, item: bytes) -> tuple[int, int, bool]:
     """(words of the item that consistent runs of the document cover, words of the item, whether a slot has another value)."""
-    dh, _, dw = template(doc)
-    ih, ik, iw = template(item)
+    dw, iw = doc.split(), item.split()
+    (dh, _), (ih, ik) = template(dw), template(iw)
+    dw, iw = list(map(_plain, dw)), list(map(_plain, iw))
     least = min(SPAN, len(ih))
     covered, other = np.zeros(len(ih), dtype=bool), False
     if least < WINDOW:
