@@ -6,7 +6,8 @@ were read: a count for each partition, added up, and a place within it. A keyed
 0 to n-1: a value that falls outside walks on along its cycle until it is inside, so the slots are exactly 0 to n-1.
 
 Range partitions by slot then hold neighbouring slots: shard ``slot // per_shard``, at the byte offset
-``slot % per_shard * 2 * length``. Record k of a shard needs no index, so a reader can go on from any slot.
+``slot % per_shard * (2 * length + 1)``, as records end with a line feed. Record k of a shard needs no index, so a
+reader can go on from any slot.
 
 Null texts count as empty and make one sequence, the end alone. Keys may be null or repeat; each row has its own
 sequences. Columns beside key and text are not read. An empty table makes no sequence and no shard.
@@ -27,6 +28,8 @@ from .tables import chunks, stored
 from .words import mix
 
 ROUNDS = 6
+#: Ranges that slots are dealt in at most; beyond it a range has several shards.
+MOST_TASKS = 20_000
 
 
 def feistel(values: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -81,7 +84,7 @@ def ordered(docs: DataFrame, path: str, pattern: str, length: int = 512, per_sha
     """(key, part, slot, shard, byte_offset, n_tokens, ids), range-partitioned and sorted by slot, a shard within one partition."""
     made = stored(sequences(docs, path, pattern, length, end, key, text), "sequences")
     sizes = made.groupBy("partition").agg(F.count("*").alias("n"))
-    # a row for each partition that was read: the running sum over them fits in one task
+    # two numbers for each partition that was read: their running sum fits in a task, and in a broadcast
     before = sizes.select("partition", (F.sum("n").over(Window.orderBy("partition")) - F.col("n")).alias("before"))
     total = made.count()
 
@@ -92,26 +95,27 @@ def ordered(docs: DataFrame, path: str, pattern: str, length: int = 512, per_sha
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column("part"), slot, batch.column("n_tokens"), batch.column("ids")], names=[key, "part", "slot", "n_tokens", "ids"])
 
     kind = docs.schema[key].dataType.simpleString()
-    placed = made.join(before, "partition").select(key, "part", "place", "before", "n_tokens", "ids").mapInArrow(slots, f"`{key}` {kind}, part long, slot long, n_tokens long, ids binary")
-    placed = placed.withColumns({"shard": (F.col("slot") / per_shard).cast("long"), "byte_offset": F.col("slot") % per_shard * (2 * length)})
+    placed = made.join(F.broadcast(before), "partition").select(key, "part", "place", "before", "n_tokens", "ids").mapInArrow(slots, f"`{key}` {kind}, part long, slot long, n_tokens long, ids binary")
+    placed = placed.withColumns({"shard": (F.col("slot") / per_shard).cast("long"), "byte_offset": F.col("slot") % per_shard * (2 * length + 1)})
+    # ranges of equally many shards: slots are dense, so their bounds are known and nothing is sampled
     shards = max(1, -(-total // per_shard))
-    return placed.repartitionByRange(shards, "shard").sortWithinPartitions("slot").select(key, "part", "slot", "shard", "byte_offset", "n_tokens", "ids")
+    tasks = min(shards, MOST_TASKS)
+    return placed.repartitionById(tasks, F.floor(F.col("shard") * tasks / shards).cast("int")).sortWithinPartitions("slot").select(key, "part", "slot", "shard", "byte_offset", "n_tokens", "ids")
 
 
 def write(frame: DataFrame, folder: str) -> None:
     """Raw shards ``folder/shard=<n>/part-*``: a record for each slot, its ids and nothing else but a line feed at the end.
 
-    Spark's own writer commits the files, so they reach any file system that Spark does and a lost task leaves none.
-    The stride is therefore 2 * length + 1 bytes.
+    Spark's own writer of text commits the files, so they reach any file system that Spark does and a lost task leaves none.
     """
-    rows = frame.select("slot", "shard", F.decode(F.col("ids"), F.lit("ISO-8859-1")).alias("value"))
+    rows = frame.select("slot", "shard", F.col("ids").cast("string").alias("value"))
     rows = rows.repartitionByRange(F.col("shard")).sortWithinPartitions("shard", "slot").select("value", "shard")
-    rows.write.partitionBy("shard").option("encoding", "ISO-8859-1").text(folder)
+    rows.write.partitionBy("shard").text(folder)
 
 
 def read(spark: SparkSession, folder: str, length: int, per_shard: int, first: int = 0) -> DataFrame:
     """(slot, ids) of written shards from slot ``first`` on; only the shards that hold them are opened."""
-    stride = 2 * length
+    stride = 2 * length + 1
     files = spark.read.format("binaryFile").load(folder).where(F.col("shard") >= first // per_shard)
     records = files.select("shard", "content", F.explode(F.sequence(F.lit(0), (F.length("content") / stride).cast("int") - 1)).alias("k"))
-    return records.select((F.col("shard") * per_shard + F.col("k")).alias("slot"), F.substring("content", F.col("k") * stride + 1, F.lit(stride)).alias("ids")).where(F.col("slot") >= first)
+    return records.select((F.col("shard") * per_shard + F.col("k")).alias("slot"), F.substring("content", F.col("k") * stride + 1, F.lit(2 * length)).alias("ids")).where(F.col("slot") >= first)
