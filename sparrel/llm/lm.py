@@ -38,7 +38,7 @@ END = b""
 FREQUENT, RARE, KNOWN = 896, 128, 65_536
 #: Longer tokens are never in the table of known ones, which bounds its bytes.
 KNOWN_BYTES = 64
-DIM, BATCH, NOISE, RATE, SEED = 24, 2048, 96, 0.08, 7
+DIM, BATCH, NOISE, RATE, SEED = 24, 2048, 40, 0.08, 7
 #: Tokens that a worker counts before it passes them on; sets of parameters that are averaged at once.
 COUNTED, AVERAGED = 300_000, 64
 
@@ -204,7 +204,11 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     counts = stored(count(learning), "counts")
     n_all, n_kinds = (x or 0 for x in counts.agg(F.sum("c"), F.count("*")).first())
     short = counts.where(F.length("token") <= KNOWN_BYTES)
-    known = {bytes(r.token): r.c for r in short.orderBy(F.desc("c"), "token").limit(KNOWN).collect()}
+    # counts fall in steps of a sixteenth of a doubling; of the top steps as many are known as KNOWN tokens hold
+    step = F.floor(16 * F.log2("c")).cast("int")
+    sizes = sorted(((r.k, r.n) for r in short.groupBy(step.alias("k")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    lowest = min((k for (k, _), n in zip(sizes, np.cumsum([n for _, n in sizes]), strict=True) if n <= KNOWN), default=None)
+    known = {bytes(r.token): r.c for r in short.where(step >= lowest).collect()} if lowest is not None else {}
     known[END] = (counts.where(F.col("token") == F.lit(bytearray(END))).agg(F.sum("c")).first()[0]) or 0
     ranked = sorted(known, key=lambda w: (w != END, -known[w], w))[:FREQUENT]
     frequent = {w: i for i, w in enumerate(ranked)}
