@@ -78,9 +78,9 @@ def spmm_transpose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(product.spmm(t.quantities(spark, sf_dir).t, t.order_features(spark, sf_dir), every_row=False))
 
 
-@query(f"WITH {_D}, {_F}, {_S} SELECT {_Z}, row, col, round(g0 * f0 + g1 * f1, 4) AS val FROM d JOIN s ON s.id = row JOIN f ON f.id = col")
+@query(f"WITH {_D}, {_F}, {_S} SELECT {_Z}, row, col, round(g0 * f0 + g1 * f1, 6) AS val FROM d JOIN s ON s.id = row JOIN f ON f.id = col")
 def sddmm_grad_a(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _entries(product.spmm_vjp(t.discounts(spark, sf_dir), t.part_features(spark, sf_dir), t.supplier_features(spark, sf_dir), of_b=False)[0])
+    return _entries(product.spmm_vjp(t.discounts(spark, sf_dir), t.part_features(spark, sf_dir), t.supplier_features(spark, sf_dir), of_b=False)[0], 6)
 
 
 @query(f"WITH {_D}, {_S} SELECT {_Z}, p_partkey AS row, round(coalesce(sum(val * g0), 0), 4) AS c0, round(coalesce(sum(val * g1), 0), 4) AS c1 FROM part LEFT JOIN d ON col = p_partkey LEFT JOIN s ON s.id = row GROUP BY 2")
@@ -109,11 +109,11 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _places(df: DataFrame, key: str, width: int) -> DataFrame:
-    return _rounded(df.select(key, *(F.get("vec", F.lit(k)).alias(f"c{k}") for k in range(width))))
+    return _rounded(df.select(key, *(F.get("vec", F.lit(k)).alias(f"c{k}") for k in range(width))), 7)
 
 
 def _gathered(idx: str) -> str:
-    sums = ", ".join(f"round(sum(x * (({idx} * 31 + j * 7 + {k} * 3) % 17) / 17.0), 4) AS c{k}" for k in range(3))
+    sums = ", ".join(f"round(sum(x * (({idx} * 31 + j * 7 + {k} * 3) % 17) / 17.0), 7) AS c{k}" for k in range(3))
     return f"WITH v AS ({_VEC}) SELECT v.i, {sums} FROM v"
 
 
@@ -128,7 +128,7 @@ def gather_mm_grad_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(product.gather_mm_vjp(_vectors(spark, sf_dir), _bank(spark), g, 3, 64)[1])
 
 
-@query("SELECT vec_id AS i, " + ", ".join(f"round(sum((vec_id % 5 + k) * ((label * 31 + {j} * 7 + k * 3) % 17) / 17.0), 4) AS c{j}" for j in range(4)) + " FROM embeddings, range(3) s(k) GROUP BY 1")
+@query("SELECT vec_id AS i, " + ", ".join(f"round(sum((vec_id % 5 + k) * ((label * 31 + {j} * 7 + k * 3) % 17) / 17.0), 7) AS c{j}" for j in range(4)) + " FROM embeddings, range(3) s(k) GROUP BY 1")
 def gather_mm_grad_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = _vectors(spark, sf_dir).select("i", F.array(*((F.col("i") % 5 + k).cast("double") for k in range(3))).alias("vec"))
     return _places(product.gather_mm_vjp(_vectors(spark, sf_dir), _bank(spark), g, 3, 64)[0], "i", 4)
@@ -137,7 +137,7 @@ def gather_mm_grad_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LENGTHS = "n AS (SELECT label AS s, count(*) AS n FROM embeddings GROUP BY 1), e AS (SELECT s, sum(n) OVER (ORDER BY s) - n AS start, sum(n) OVER (ORDER BY s) AS stop FROM n)"
 
 
-@query(f"WITH {_LENGTHS}, v AS ({_VEC}) SELECT v.i, " + ", ".join(f"round(sum(x * ((s * 31 + j * 7 + {k} * 3) % 17) / 17.0), 4) AS c{k}" for k in range(3)) + " FROM v JOIN e ON v.i >= start AND v.i < stop GROUP BY 1")
+@query(f"WITH {_LENGTHS}, v AS ({_VEC}) SELECT v.i, " + ", ".join(f"round(sum(x * ((s * 31 + j * 7 + {k} * 3) % 17) / 17.0), 7) AS c{k}" for k in range(3)) + " FROM v JOIN e ON v.i >= start AND v.i < stop GROUP BY 1")
 def segment_mm_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _vectors(spark, sf_dir)
     lengths = vectors.groupBy(F.col("idx").alias("s")).agg(F.count("*").alias("n"))
@@ -305,14 +305,14 @@ def _events(spark: SparkSession, sf_dir: str) -> Sparse:
     return Sparse.of(held.select(F.col("user_id").alias("row"), kind.alias("col"), (F.col("value") / 1000).alias("val")), (t.table(spark, sf_dir, "events").agg(F.max("user_id")).first()[0]) + 1, 5).coalesced()
 
 
-@query(f"WITH {_E} SELECT {_Z}, u AS row, " + ", ".join(f"round(coalesce(sum(val) FILTER (col = {k}), 0), 4) AS c{k}" for k in range(5)) + " FROM (SELECT DISTINCT user_id AS u FROM events) LEFT JOIN e ON row = u GROUP BY 2")
+@query(f"WITH {_E} SELECT {_Z}, u AS row, " + ", ".join(f"round(coalesce(sum(val) FILTER (col = {k}), 0), 6) AS c{k}" for k in range(5)) + " FROM (SELECT DISTINCT user_id AS u FROM events) LEFT JOIN e ON row = u GROUP BY 2")
 def densify_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _out(layout.densify(_events(spark, sf_dir)))
+    return _out(layout.densify(_events(spark, sf_dir)), digits=6)
 
 
-@query(f"WITH {_E} SELECT {_Z}, row, col::BIGINT AS col, round(val, 4) AS val FROM e WHERE val <> 0")
+@query(f"WITH {_E} SELECT {_Z}, row, col::BIGINT AS col, round(val, 6) AS val FROM e WHERE val <> 0")
 def sparsify_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _entries(layout.sparsify(layout.densify(_events(spark, sf_dir))))
+    return _entries(layout.sparsify(layout.densify(_events(spark, sf_dir))), 6)
 
 
 @query(f"WITH {_D} SELECT {_Z}, row, col, round(val, 4) AS val FROM d WHERE row >= col")
@@ -630,9 +630,6 @@ def mvn_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Statistical checks, on four coordinates of the embeddings
 
-_M = ", ".join(f"avg(embedding[{i + 1}])::DOUBLE AS m{i}" for i in range(2))
-
-
 def _samples(spark: SparkSession, sf_dir: str) -> Dense:
     held = t.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row"), F.slice("embedding", 1, 2).cast("array<double>").alias("vec"))
     return Dense.of(held, held.count(), 2)
