@@ -38,7 +38,7 @@ END = b""
 FREQUENT, RARE, KNOWN = 896, 128, 65_536
 #: Longer tokens are never in the table of known ones, which bounds its bytes.
 KNOWN_BYTES = 64
-DIM, BATCH, NOISE, RATE, SEED = 24, 2048, 40, 0.08, 7
+DIM, BATCH, NOISE, RATE, SEED = 24, 4096, 40, 0.1, 7
 #: Tokens that a worker counts before it passes them on; sets of parameters that are averaged at once.
 COUNTED, AVERAGED = 300_000, 64
 
@@ -105,7 +105,7 @@ class Model:
 
 def _gathered(rows: np.ndarray, index: np.ndarray, n: int) -> np.ndarray:
     """Sums of the rows that have the same index."""
-    order = np.argsort(index, kind="stable")
+    order = np.argsort(index.astype(np.int16), kind="stable")  # there are fewer classes than 2**15; two bytes sort by radix
     found, first = np.unique(index[order], return_index=True)
     out = np.zeros((n, rows.shape[1]), dtype=np.float32)
     out[found] = np.add.reduceat(rows[order], first, axis=0)
@@ -141,8 +141,25 @@ class Trainer:
             x -= RATE * damp * d / np.sqrt(total)
 
 
-def _classes(found: dict[bytes, int], words: list[bytes]) -> np.ndarray:
-    return np.array([c if (c := found.get(w, -1)) >= 0 else rare_class(w) for w in words], dtype=np.int64)
+class _Tails(dict):
+    """Last two bytes of a rare token to -1 - its class; there are 65,793 of them at most."""
+
+    def __missing__(self, tail: bytes) -> int:
+        self[tail] = code = -1 - rare_class(tail)
+        return code
+
+
+_tails = _Tails()
+
+
+def _places(known: dict[bytes, int], words: list[bytes]) -> np.ndarray:
+    """The places of known tokens, and -1 - their class for others."""
+    return np.array([known[w] if w in known else _tails[w[-2:]] for w in words], dtype=np.int64)
+
+
+def _classes(frequent: dict[bytes, int], words: list[bytes]) -> np.ndarray:
+    at = _places(frequent, words)
+    return np.where(at < 0, -1 - at, at)
 
 
 def train(docs: DataFrame, frequent: dict[bytes, int], log_share: np.ndarray) -> Model:
@@ -177,24 +194,27 @@ def train(docs: DataFrame, frequent: dict[bytes, int], log_share: np.ndarray) ->
 
 
 class Scorer:
-    """Natural log probabilities of classes; normalisers of pairs of classes are made when first wanted."""
+    """Natural log probabilities of classes; normalisers of pairs of classes are made when first wanted.
+
+    The score is linear in either place of the context, so it is the sum of two table entries and the bias.
+    """
 
     def __init__(self, model: Model) -> None:
-        self.model, n = model, len(model.bias)
-        self.maps = [model.context @ m for m in model.maps]
-        self.norms = np.full(n * n, np.nan, dtype=np.float32)
+        self.bias, self.n = model.bias, len(model.bias)
+        self.second, self.first = ((model.context @ m) @ model.target.T for m in model.maps)
+        self.norms = np.full(self.n * self.n, np.nan, dtype=np.float32)
 
     def __call__(self, last2: np.ndarray, last: np.ndarray, word: np.ndarray) -> np.ndarray:
-        m, n = self.model, len(self.model.bias)
-        pair = last2 * n + last
-        missing = np.unique(pair[np.isnan(self.norms[pair])])
-        for at in range(0, len(missing), 512):
-            some = missing[at : at + 512]
-            scores = (self.maps[0][some // n] + self.maps[1][some % n]) @ m.target.T + m.bias
-            top = scores.max(axis=1)
-            self.norms[some] = top + np.log(np.exp(scores - top[:, None]).sum(axis=1))
-        hidden = self.maps[0][last2] + self.maps[1][last]
-        return (np.einsum("ij,ij->i", hidden, m.target[word]) + m.bias[word] - self.norms[pair]).astype(np.float64)
+        pair = last2 * self.n + last
+        norms = self.norms[pair]
+        if len(new := np.unique(pair[np.isnan(norms)])):
+            for at in range(0, len(new), 256):
+                some = new[at : at + 256]
+                scores = self.second[some // self.n] + self.first[some % self.n] + self.bias
+                top = scores.max(axis=1)
+                self.norms[some] = top + np.log(np.exp(scores - top[:, None]).sum(axis=1))
+            norms = self.norms[pair]
+        return (self.second[last2, word] + self.first[last, word] + self.bias[word] - norms).astype(np.float64)
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -235,12 +255,14 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
             out: dict[str, list] = {k: [] for k in ("row", "n_tokens", "n_known", "base", "own", "others")}
             for raw in utf8(batch, "text"):
                 said = tokens(raw)
-                at = np.array([place.get(w, -1) for w in said], dtype=np.int64)
+                at = _places(place, said)
                 other = np.flatnonzero(at < 0)
                 line = np.empty(len(at) + 2, dtype=np.int64)
                 line[:2] = end
+                rare_at = -1 - at[other]
+                at[other] = 0
                 line[2:] = classes[at]
-                line[2 + other] = [rare_class(said[k]) for k in other.tolist()]
+                line[2 + other] = rare_at
                 log_c = logs[at]
                 log_c[other] = 0
                 word = line[2:]
