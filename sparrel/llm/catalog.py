@@ -103,4 +103,15 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALL = (op1_substring_dedup, op2_byte_bpe, op3_near_dedup, op4_lm_scores, op5_quality_rules, op6_decontamination, op7_url_filter, op8_training_order, op9_personal_data, op10_chat_format)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
-SQL: dict[str, str] = {}
+#: Only substring dedup is within SQL's reach on whole tables: the others learn, tokenise, template or fold.
+SQL: dict[str, str] = {
+    "op1_substring_dedup": r"""
+WITH w AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> ''] AS words FROM documents),
+windows AS (SELECT doc_id, i, sha256(array_to_string(words[i:i + 49], ' ')) AS h FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM w WHERE len(words) >= 50)),
+firsts AS (SELECT h, min(doc_id) AS owner FROM windows GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM windows JOIN firsts USING (h) WHERE owner < doc_id),
+said AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM w),
+kept AS (SELECT said.doc_id, count(gone.p) AS n_removed, string_agg(word, ' ' ORDER BY said.p) FILTER (WHERE gone.p IS NULL) AS text FROM said LEFT JOIN gone USING (doc_id, p) GROUP BY 1)
+SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+""",
+}

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from sparrel.llm import bpe, catalog, shards, substrings
 
+from tests import oracle
+
 from . import brute
 
 PATH = P.path(catalog.VOCABULARY)
@@ -62,6 +64,10 @@ def test_op1_on_the_driver_table(spark):
     assert got == want
 
 
+def test_sql_of_op1(spark):
+    assert oracle.differences(catalog.op1_substring_dedup(spark, SF), oracle.connect(SF), catalog.SQL["op1_substring_dedup"]) == ""
+
+
 def test_merges_equal_the_reference_library(official):
     rng = random.Random(1)
     ranks = bpe.read_ranks(PATH)
