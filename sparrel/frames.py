@@ -23,6 +23,17 @@ def index(spark: SparkSession, n: int, name: str) -> DataFrame:
     return spark.range(n).select(F.col("id").alias(name))
 
 
+def grid(spark: SparkSession, **sizes: int) -> DataFrame:
+    """Every combination of numbers below the sizes: one range and its quotients, so nothing is joined or broadcast."""
+    if not min(sizes.values()):
+        return spark.range(0).select(*(F.col("id").alias(name) for name in sizes))
+    columns, step = [], 1
+    for name, n in reversed(sizes.items()):
+        columns.append((F.expr(f"id div {step}") % n).alias(name))
+        step *= n
+    return spark.range(step).select(*reversed(columns))
+
+
 @dataclass(frozen=True)
 class Sparse:
     """Entries (batch, row, col, val) of ``n_batch`` matrices of n_rows x n_cols; keys may repeat and then add up."""
@@ -108,7 +119,7 @@ class Dense:
 
     def filled(self) -> Dense:
         """With a row for every index; those that were absent are zero."""
-        every = index(self.spark, self.n_rows, "row").crossJoin(F.broadcast(index(self.spark, self.n_batch, "batch")))
+        every = grid(self.spark, batch=self.n_batch, row=self.n_rows)
         zero = F.array_repeat(F.lit(0.0), self.width)
         return self.with_df(every.join(self.df, ["batch", "row"], "left").withColumn("vec", F.coalesce("vec", zero)))
 

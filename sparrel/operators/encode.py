@@ -14,7 +14,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..frames import Sparse, index
+from ..frames import Sparse, grid, index
 
 RELATIONS = ("indep", "intra", "inter")
 
@@ -103,7 +103,7 @@ class PairwiseEncoder:
     def encode_vjp(self, g: Sparse) -> DataFrame:
         """(batch, offset_id, row, val): the gradient of every value; 0 for those outside of the volume."""
         spark = g.spark
-        every = index(spark, self.size, "row").crossJoin(F.broadcast(index(spark, len(self.offsets), "offset_id").select(F.col("offset_id").cast("int")))).crossJoin(F.broadcast(index(spark, g.n_batch, "batch")))
+        every = grid(spark, batch=g.n_batch, offset_id=len(self.offsets), row=self.size).withColumn("offset_id", F.col("offset_id").cast("int"))
         met = self.structure(spark).join(g.df, ["row", "col"]).select("batch", "offset_id", "row", "val")
         return every.join(met, ["batch", "offset_id", "row"], "left").select("batch", "offset_id", "row", F.coalesce("val", F.lit(0.0)).alias("val"))
 

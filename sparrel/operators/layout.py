@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..frames import KEYS, Dense, Sparse, index
+from ..frames import KEYS, Dense, Sparse, grid
 
 
 def to_csr(a: Sparse) -> DataFrame:
     """(batch, row, cols, vals) with a row for every index, columns in order; entries with one key add up first."""
     held = a.coalesced().df.groupBy("batch", "row").agg(F.array_sort(F.collect_list(F.struct("col", "val"))).alias("e"))
-    every = index(a.spark, a.n_rows, "row").crossJoin(F.broadcast(index(a.spark, a.n_batch, "batch")))
+    every = grid(a.spark, batch=a.n_batch, row=a.n_rows)
     e = F.coalesce("e", F.array().cast("array<struct<col:bigint,val:double>>"))
     return every.join(held, ["batch", "row"], "left").select("batch", "row", F.transform(e, lambda x: x["col"]).alias("cols"), F.transform(e, lambda x: x["val"]).alias("vals"))
 
@@ -44,15 +44,14 @@ def _before(counts: DataFrame, keys: list[str], by: str, block: int = 1 << 16) -
     return summed.join(bases, [*keys, "_block"]).withColumn("before", F.col("_base") + F.col("_in")).drop("_block", "_in", "_base")
 
 
-def compress(rows: DataFrame, n_rows: int) -> DataFrame:
-    """(batch, i, crow) with n_rows + 1 pointers from row numbers (batch, row)."""
+def compress(rows: DataFrame, n_rows: int, n_batch: int = 1) -> DataFrame:
+    """(batch, i, crow) with n_rows + 1 pointers for each batch from row numbers (batch, row)."""
     if n_rows < 1:
         raise ValueError("a matrix has a row at least")
     spark = rows.sparkSession
     rows = rows if "batch" in rows.columns else rows.withColumn("batch", F.lit(0).cast("long"))
     counts = rows.groupBy("batch", F.col("row").alias("i")).agg(F.count("*").alias("n"))
-    every = index(spark, n_rows + 1, "i").crossJoin(F.broadcast(rows.select("batch").distinct()))
-    full = every.join(counts, ["batch", "i"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    full = grid(spark, batch=n_batch, i=n_rows + 1).join(counts, ["batch", "i"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return _before(full, ["batch"], "i").select("batch", "i", F.col("before").alias("crow"))
 
 
@@ -105,7 +104,7 @@ def block_diag_split(a: Sparse, *shapes: tuple[int, int]) -> list[Sparse]:
 
 
 def eye(spark: SparkSession, n: int, n_batch: int = 1) -> Sparse:
-    cells = index(spark, n, "row").crossJoin(F.broadcast(index(spark, n_batch, "batch")))
+    cells = grid(spark, batch=n_batch, row=n)
     return Sparse(cells.select("batch", "row", F.col("row").alias("col"), F.lit(1.0).alias("val")), n, n, n_batch)
 
 

@@ -11,14 +11,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..frames import Dense, Sparse, index
+from ..frames import Dense, Sparse, grid
 from .product import sddmm, spmm
 from .solve import triangular_solve, triangular_solve_vjp
 
 
 def noise(spark: SparkSession, n: int, samples: int, n_batch: int = 1, seed: int = 0) -> Dense:
     """Standard normal numbers, each from a hash of its own place, so they don't depend on partitions (Box and Muller)."""
-    cells = index(spark, n, "row").crossJoin(F.broadcast(index(spark, n_batch, "batch")))
+    cells = grid(spark, batch=n_batch, row=n)
     unit = lambda k, salt: (F.pmod(F.xxhash64("batch", "row", k, F.lit(salt), F.lit(seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
     vec = F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda k: F.sqrt(-2 * F.log(unit(k, 1))) * F.cos(2 * math.pi * unit(k, 2)))
     return Dense(cells.select("batch", "row", vec.alias("vec")), n, samples, n_batch)

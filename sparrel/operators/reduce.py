@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..frames import Sparse, index
+from ..frames import Sparse, grid
 
 ROW, COL = "row", "col"
 
@@ -57,9 +57,7 @@ def logsumexp(a: Sparse, dim: int | list[int] | tuple[int, ...], include_zeros:
     cells = 1
     for axis in gone:
         cells *= size[axis]
-    groups = index(a.spark, a.n_batch, "batch")
-    for axis in kept:
-        groups = index(a.spark, size[axis], axis).crossJoin(F.broadcast(groups))
+    groups = grid(a.spark, batch=a.n_batch, **{axis: size[axis] for axis in kept})
     groups = groups.withColumn("cells", F.lit(cells if include_zeros else None).cast("long"))
     out = _grouped(a.df.select("batch", *kept, "val"), groups, ["batch", *kept])
     return out.withColumns({c: F.lit(0).cast("long") for c in gone}).select("batch", ROW, COL, "lse") if keepdim else out
@@ -76,18 +74,17 @@ def bidir_logsumexp(a: Sparse, include_zeros: bool = True, layout: str = "tuple"
     if keepdim and layout != "tuple":
         raise ValueError("keepdim is for tuples only")
     both = a.df.select("batch", "val", F.inline(F.array(F.struct(F.lit(0).alias("axis"), F.col(COL).alias("idx")), F.struct(F.lit(1).alias("axis"), F.col(ROW).alias("idx")))))
-    spark, batches = a.spark, index(a.spark, a.n_batch, "batch")
+    spark = a.spark
     sides = [(0, a.n_cols, a.n_rows), (1, a.n_rows, a.n_cols)]
-    parts = [index(spark, n, "idx").select(F.lit(axis).alias("axis"), "idx", F.lit(cells if include_zeros else None).cast("long").alias("cells")) for axis, n, cells in sides]
-    groups = parts[0].union(parts[1]).crossJoin(F.broadcast(batches))
-    out = _grouped(both, groups, ["batch", "axis", "idx"])
+    parts = [grid(spark, batch=a.n_batch, idx=n).select("batch", F.lit(axis).alias("axis"), "idx", F.lit(cells if include_zeros else None).cast("long").alias("cells")) for axis, n, cells in sides]
+    out = _grouped(both, parts[0].union(parts[1]), ["batch", "axis", "idx"])
     if layout == "tuple":
         cols, rows = (out.where(F.col("axis") == k).select("batch", F.col("idx").alias(name), "lse") for k, name in ((0, COL), (1, ROW)))
         if keepdim:
             return cols.select("batch", F.lit(0).cast("long").alias(ROW), COL, "lse"), rows.select("batch", ROW, F.lit(0).cast("long").alias(COL), "lse")
         return cols, rows
     if layout == "padded":
-        every = index(spark, max(a.n_rows, a.n_cols), "idx").crossJoin(F.broadcast(index(spark, 2, "axis").select(F.col("axis").cast("int")))).crossJoin(F.broadcast(batches))
+        every = grid(spark, axis=2, batch=a.n_batch, idx=max(a.n_rows, a.n_cols)).withColumn("axis", F.col("axis").cast("int"))
         return every.join(out, ["batch", "axis", "idx"], "left").select("axis", "batch", "idx", F.coalesce("lse", _inf("-")).alias("lse"))
     return out.groupBy("axis", "batch").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "lse"))), lambda s: s["lse"]).alias("lses"))
 
@@ -112,6 +109,6 @@ def bidir_logsumexp_vjp(a: Sparse, g_cols: DataFrame, g_rows: DataFrame, include
 def nnz(a: Sparse, axis: str = ROW) -> DataFrame:
     """(batch, axis, n): stored entries of each group, 0 for empty ones."""
     size = {ROW: a.n_rows, COL: a.n_cols}[axis]
-    every = index(a.spark, size, axis).crossJoin(F.broadcast(index(a.spark, a.n_batch, "batch")))
+    every = grid(a.spark, batch=a.n_batch, **{axis: size})
     counts = a.df.groupBy("batch", axis).agg(F.count("*").alias("n"))
     return every.join(counts, ["batch", axis], "left").select("batch", axis, F.coalesce("n", F.lit(0)).alias("n"))

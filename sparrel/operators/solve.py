@@ -213,10 +213,10 @@ def cg_distributed(a: Sparse, b: DataFrame, tolerance: float = 1e-10, max_iter:
         ap = a_df.join(v.select("batch", F.col("row").alias("col"), "p"), ["batch", "col"]).groupBy("batch", "row").agg(F.sum(F.col("val") * F.col("p")).alias("ap"))
         v = v.join(ap, ["batch", "row"], "left").withColumn("ap", F.coalesce("ap", F.lit(0.0)))
         pap = v.groupBy("batch").agg(F.sum(F.col("p") * F.col("ap")).alias("pap"), F.sum(F.col("r") * F.col("r")).alias("rr"))
-        v = v.join(F.broadcast(pap), "batch").withColumn("al", F.when(F.col("pap") > 1e-300, F.col("rr") / F.col("pap")).otherwise(0.0))
+        v = v.join(pap, "batch").withColumn("al", F.when(F.col("pap") > 1e-300, F.col("rr") / F.col("pap")).otherwise(0.0))
         v = v.select("batch", "row", (F.col("x") + F.col("al") * F.col("p")).alias("x"), (F.col("r") - F.col("al") * F.col("ap")).alias("r"), "p", F.col("rr").alias("old")).checkpoint()
         new = v.groupBy("batch").agg(F.sum(F.col("r") * F.col("r")).alias("rr"))
         rr = {r.batch: r.rr for r in new.collect()}
         beta = F.when(F.col("old") > 1e-300, F.col("rr") / F.col("old")).otherwise(0.0)
-        v = v.join(F.broadcast(new), "batch").select("batch", "row", "x", "r", (F.col("r") + beta * F.col("p")).alias("p"))
+        v = v.join(new, "batch").select("batch", "row", "x", "r", (F.col("r") + beta * F.col("p")).alias("p"))
     return v.select("batch", "row", F.col("x").alias("val"))

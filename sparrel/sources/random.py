@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..frames import Sparse, index
+from ..frames import Sparse, grid, index
 
 WALKS, ROUNDS = 24, 4
 
@@ -54,7 +54,7 @@ def _check(nnz: int, least: int, most: int) -> None:
 def rand_sparse(spark: SparkSession, n_rows: int, n_cols: int, nnz: int, n_batch: int = 1, seed: int = 0, well_conditioned: bool = False, min_diag: float = 1.0) -> Sparse:
     """Exactly nnz entries for each batch, with values in [0, 1). Well conditioned: entries on the diagonal are raised by min_diag."""
     _check(nnz, 0, n_rows * n_cols)
-    places = index(spark, nnz, "p").crossJoin(F.broadcast(index(spark, n_batch, "batch")))
+    places = grid(spark, batch=n_batch, p=nnz)
     at = permuted(places, "p", n_rows * n_cols, seed).select("batch", F.floor(F.col("p") / n_cols).cast("long").alias("row"), (F.col("p") % n_cols).alias("col"))
     value = unit(seed + 1, "batch", "row", "col")
     if well_conditioned:
@@ -66,7 +66,7 @@ def rand_sparse_tri(spark: SparkSession, n: int, nnz: int, n_batch: int = 1, upp
     """Triangular; unless ``strict`` the whole diagonal is stored and counts. Cell p of the strict part is row r, column c < r with p = r(r-1)/2 + c."""
     inside = n * (n - 1) // 2
     _check(nnz, 0 if strict else n, inside + (0 if strict else n))
-    places = index(spark, nnz - (0 if strict else n), "p").crossJoin(F.broadcast(index(spark, n_batch, "batch")))
+    places = grid(spark, batch=n_batch, p=nnz - (0 if strict else n))
     at = permuted(places, "p", max(inside, 1), seed)
     guess = F.floor((1 + F.sqrt(1 + 8 * F.col("p").cast("double"))) / 2).cast("long")
     before = lambda r: F.shiftright(r * (r - 1), 1)
@@ -75,7 +75,7 @@ def rand_sparse_tri(spark: SparkSession, n: int, nnz: int, n_batch: int = 1, upp
     one, other = ("col", "row") if upper else ("row", "col")
     cells = low.select("batch", F.col(one).alias("row"), F.col(other).alias("col"))
     if not strict:
-        cells = cells.unionByName(index(spark, n, "row").crossJoin(F.broadcast(index(spark, n_batch, "batch"))).select("batch", "row", F.col("row").alias("col")))
+        cells = cells.unionByName(grid(spark, batch=n_batch, row=n).select("batch", "row", F.col("row").alias("col")))
     least, most = value_range
     value = least + (most - least) * unit(seed + 1, "batch", "row", "col")
     if well_conditioned:
