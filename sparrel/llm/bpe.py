@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from .tables import chunks
 
 #: Pieces that a worker remembers, and bytes of the longest one that it does.
-MEMO_PIECES, MEMO_BYTES = 400_000, 64
+MEMO_PIECES, MEMO_BYTES = 200_000, 64
 #: The value of a leaf whose pair has no rank: above any rank and position.
 NO_PAIR = 1 << 62
 
@@ -91,19 +91,34 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class _Memo(dict):
-    """Pieces to their packed ids; it starts anew when it is full."""
+    """Pieces to their packed ids, from their second occurrence on, while there is room.
+
+    Most pieces of a corpus occur once; marks by hash tell which have occurred, so those never take a place. After many
+    misses the pieces are no longer those that matter, and it starts anew.
+    """
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         super().__init__()
         self.ranks = ranks
+        self.renew()
+
+    def renew(self) -> None:
+        self.clear()
+        self.marks, self.misses = bytearray(1 << 22), 0
 
     def __missing__(self, piece: str) -> bytes:
         raw = piece.encode()
         packed = np.array(merge(raw, self.ranks), dtype="<u4").tobytes()
-        if len(raw) <= MEMO_BYTES:
-            if len(self) >= MEMO_PIECES:
-                self.clear()
-            self[piece] = packed
+        if len(self) >= MEMO_PIECES:
+            self.misses += 1
+            if self.misses > 10 * MEMO_PIECES:
+                self.renew()
+        elif len(raw) <= MEMO_BYTES:
+            mark = hash(piece) & 0x3FFFFF
+            if self.marks[mark]:
+                self[piece] = packed
+            else:
+                self.marks[mark] = 1
         return packed
 
 

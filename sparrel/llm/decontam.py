@@ -35,7 +35,7 @@ NUMBER, NAME, UNIT, PLAIN = 1, 2, 3, 0
 UNITS = frozenset("% $ € £ mm cm m km in ft mi mg g kg t oz lb lbs ml l ms s sec min h hr d w mph kmh w kw v a hz khz mhz ghz kb mb gb tb usd eur gbp dollar dollars euro euros cent cents pound pounds meter meters metre metres mile miles gram grams kilogram kilograms liter liters litre litres second seconds minute minutes hour hours day days week weeks month months year years percent degree degrees".split())
 _EDGES = b"""!"'()*+,-./:;<=>?[\\]^_`{|}~"""
 _NUMBER = re.compile(rb"[0-9][0-9.,:/]*([a-z%]*)$")
-_MEMO_WORDS = 200_000
+_MEMO_WORDS = 100_000
 
 
 def _plain(word: bytes) -> bytes:

@@ -53,7 +53,7 @@ def utf8(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def chunks(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that none holds much more than ``most`` bytes, but always a row."""
     for batch in batches:
         if batch.nbytes <= most or batch.num_rows < 2:
@@ -64,6 +64,17 @@ def chunks(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[p
             yield batch.slice(at, step)
 
 
+def sample(df: DataFrame, key: str, most: int) -> DataFrame:
+    """At most so many of the distinct rows, the least by a hash of their key; all of them if they are no more.
+
+    A filter on the hash comes first, so each task passes on a few rows and the driver never gets ``most`` from each.
+    """
+    share = min(1.0, 2 * most / max(1, df.count()))
+    h = F.xxhash64(key)
+    few = df.where(F.pmod(h, F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).distinct()
+    return few.orderBy(h, *few.columns).limit(most)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of undirected ``edges`` (a, b: long): rows (node, component), component being the least node.
 
