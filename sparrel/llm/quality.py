@@ -24,6 +24,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import sample
+
 #: Labelled rows that the learner sees at most.
 SAMPLE = 6_000
 #: Share of its own that a rule must reject rightly, on growing and on pruning rows, and rows that it must cover.
@@ -153,8 +155,9 @@ def learn(rows: list[dict]) -> list[Rule]:
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> list[Rule]:
     """Rules for ``label`` = 0, from the labelled documents that pass the base rule."""
-    sample = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.min(label).alias("label")).orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
-    known = {r.id: r.label for r in sample.collect()}
+    known: dict = {}
+    for r in sample(labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(label).alias("label")), "id", SAMPLE).collect():
+        known[r.id] = min(r.label, known.get(r.id, r.label))
     if len(set(known.values())) < 2:
         return []
     # at most SAMPLE keys of eight bytes: their bound is proven

@@ -17,6 +17,8 @@ in a document with a smaller id; windows are judged on the input.
 
 Whole texts are shuffled once, to the marks of their document, and stored; what grows with the input is never broadcast.
 
+Hashes have 64 bits: that a window is hidden by another one with its hash has odds of 1e-6 among 2e13 windows.
+
 Null texts have no words. Rows without a key are never compared and keep all words. Rows that repeat a key are judged
 one by one, but not against each other. Columns beside key and text are not read. Empty tables give empty results.
 """

@@ -22,6 +22,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import sample
+
 BUCKETS, GRAMS, SAMPLE = 4096, (3, 4), 4_000
 STEPS, RATE, DECAY = 300, 1.0, 1e-4
 
@@ -90,8 +92,8 @@ class Model:
 
 def fit(labelled: DataFrame, url: str = "url", label: str = "label") -> Model:
     """From rows (url, 0 or 1, 1 being blocked): full gradient steps over the bounded sample."""
-    sample = labelled.where(F.col(label).isNotNull()).select(F.col(url).alias("url"), F.col(label).cast("int").alias("label")).distinct().orderBy(F.xxhash64("url"), "url", "label").limit(SAMPLE)
-    split = sample.select(host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), "label")
+    rows = labelled.where(F.col(label).isNotNull()).select(F.col(url).alias("url"), F.col(label).cast("int").alias("label"))
+    split = sample(rows, "url", SAMPLE).select(host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), "label")
     rows = with_buckets(split, F.col("host"), F.col("path")).select(F.col(_FOUND).alias("b"), "label").collect()
     wanted = np.array([r.label for r in rows], dtype=np.float64)
     weights, bias = np.zeros(BUCKETS), 0.0
