@@ -2,7 +2,8 @@
 
 Two tiers. Local: a system is one group, gathered with its right-hand side in one task and solved in numpy; batches are
 solved side by side. It is for systems of at most ``LOCAL_ENTRIES`` entries, which is checked. Distributed: triangular
-systems by levels, symmetric positive definite ones by conjugate gradients over frames, each step a join and two sums.
+systems by levels, symmetric positive definite ones by conjugate gradients over frames, each step a join and two sums,
+and all others and least squares by conjugate gradients on the normal equations.
 
 Gradients follow one rule: with X = A⁻¹B, dB = A⁻ᵀG, and dA = -dB·Xᵀ at the stored entries of A. The transposed system is
 solved with the transposed relation, so the rule holds for any A, and as the gradients are solves and products
@@ -16,7 +17,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import scratch
@@ -47,12 +48,16 @@ def matvec(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, n: int) -> kryl
     return times
 
 
+def _most_entries(a: Sparse) -> int:
+    return a.df.groupBy("batch").count().agg(F.max("count")).first()[0] or 0
+
+
 def _solved(a: Sparse, b: Dense, solve: Local, n_out: int) -> Dense:
     """``solve`` applied to each batch as a group."""
     same_batches(a, b)
     if a.n_rows != b.n_rows:
         raise ValueError(f"A has {a.n_rows} rows and B {b.n_rows}")
-    most = a.df.groupBy("batch").count().agg(F.max("count")).first()[0] or 0
+    most = _most_entries(a)
     if most > LOCAL_ENTRIES:
         raise ValueError(f"a system has {most} entries; a task gathers at most {LOCAL_ENTRIES}, so use the distributed solvers")
     shape, width = (a.n_rows, a.n_cols), b.width
@@ -109,21 +114,20 @@ def triangular_solve(a: Sparse, b: Dense, upper: bool = True, unitriangular: boo
 
 def _by_levels(a: Sparse, b: Dense, upper: bool, unit: bool, transpose: bool, most: int = 200) -> Dense:
     """Level scheduling: each round solves the rows that wait for none, and subtracts them from those that wait for them."""
-    scratch.ensure(a.spark)
     a = (a.t if transpose else a).coalesced()
     below = F.col("row") > F.col("col") if upper == transpose else F.col("row") < F.col("col")
-    off = a.df.where(below).checkpoint()
+    off = scratch.cut(a.df.where(below))
     diagonal = a.df.where("row = col").select("batch", "row", F.col("val").alias("d"))
     side = b.filled().df
     side = side.withColumn("d", F.lit(1.0)) if unit else side.join(diagonal, ["batch", "row"], "left")
-    open_, solved = side.checkpoint(), None
+    open_, solved = scratch.cut(side), None
     for _ in range(most):
         waiting = off.join(open_.select("batch", F.col("row").alias("col")), ["batch", "col"], "left_semi").select("batch", "row").distinct()
-        ready = open_.join(waiting, ["batch", "row"], "left_anti").select("batch", "row", F.transform("vec", lambda x: x / F.col("d")).alias("vec")).checkpoint()
+        ready = scratch.cut(open_.join(waiting, ["batch", "row"], "left_anti").select("batch", "row", F.transform("vec", lambda x: x / F.col("d")).alias("vec")))
         solved = ready if solved is None else solved.unionByName(ready)
         passed = spmm(Sparse(off, a.n_rows, a.n_cols, a.n_batch), Dense(ready, b.n_rows, b.width, b.n_batch), every_row=False).df.withColumnRenamed("vec", "_p")
         rest = open_.join(ready.select("batch", "row"), ["batch", "row"], "left_anti").join(passed, ["batch", "row"], "left")
-        open_ = rest.select("batch", "row", F.when(F.col("_p").isNull(), F.col("vec")).otherwise(F.zip_with("vec", "_p", lambda x, p: x - p)).alias("vec"), "d").checkpoint()
+        open_ = scratch.cut(rest.select("batch", "row", F.when(F.col("_p").isNull(), F.col("vec")).otherwise(F.zip_with("vec", "_p", lambda x, p: x - p)).alias("vec"), "d"))
         if open_.isEmpty():
             return b.with_df(solved)
     raise RuntimeError(f"the dependencies are deeper than {most} levels; use the local tier")
@@ -158,15 +162,25 @@ def _named(name: str | Callable, **options) -> Local:
 SOLVERS = ("cg", "minres", "bicgstab", "cgs", "gmres", "direct", "spsolve")
 
 
-def generic_solve(a: Sparse, b: Dense, solver: str | Callable = "minres", **options) -> Dense:
+def tier_of(a: Sparse, tier: str) -> str:
+    """``auto`` is local if no system has more entries than a task may gather, else distributed."""
+    if tier not in ("auto", "local", "distributed"):
+        raise ValueError(f"no tier {tier!r}")
+    return ("local" if _most_entries(a) <= LOCAL_ENTRIES else "distributed") if tier == "auto" else tier
+
+
+def generic_solve(a: Sparse, b: Dense, solver: str | Callable = "minres", tier: str = "local", **options) -> Dense:
     """X with A·X = B by a named solver or a callable (matvec, sides) to solutions; options go to the solver.
 
-    ``minres`` needs a symmetric A, ``cg`` a positive definite one, the others a regular one.
+    ``minres`` needs a symmetric A, ``cg`` a positive definite one, the others a regular one. In the distributed tier, ``cg``
+    is itself and all others are conjugate gradients on the normal equations; options are tolerance and max_iter there.
     """
     if a.n_rows != a.n_cols:
         raise ValueError("A must be square")
     if not callable(solver) and solver not in SOLVERS:
         raise ValueError(f"no solver {solver!r}; there are {SOLVERS}")
+    if tier_of(a, tier) == "distributed":
+        return cg_distributed(a, b, **options) if solver == "cg" else lstsq_distributed(a, b, **options)
     return _solved(a, b, _named(solver, **options), a.n_rows)
 
 
@@ -179,8 +193,12 @@ def _least_squares(rows, cols, vals, shape, b, settings: krylov.LsmrSettings) ->
     return krylov.lsmr(matvec(rows, cols, vals, shape[0]), matvec(cols, rows, vals, shape[1]), b, shape[1], settings)[0]
 
 
-def lstsq(a: Sparse, b: Dense, settings: krylov.LsmrSettings = krylov.LsmrSettings()) -> Dense:
-    """X that minimises the length of A·X - B, by LSMR column by column; damped if the settings say so."""
+def lstsq(a: Sparse, b: Dense, settings: krylov.LsmrSettings = krylov.LsmrSettings(), tier: str = "local") -> Dense:
+    """X that minimises the length of A·X - B, by LSMR column by column; damped, in the local tier, if the settings say so."""
+    if tier_of(a, tier) == "distributed":
+        if settings.damp:
+            raise ValueError("damping is for the local tier")
+        return lstsq_distributed(a, b)
     return _solved(a, b, partial(_least_squares, settings=settings), a.n_cols)
 
 
@@ -196,27 +214,79 @@ def lstsq_vjp(a: Sparse, b: Dense, x: Dense, g: Dense, settings: krylov.LsmrSett
     return a.with_df(total), db
 
 
-def cg_distributed(a: Sparse, b: DataFrame, tolerance: float = 1e-10, max_iter: int = 200) -> DataFrame:
-    """(batch, row, val) with A·x = b for symmetric positive definite A whose systems don't fit in a task.
+def _columns(b: Dense) -> DataFrame:
+    """(batch, k, row, val): a right-hand side by columns."""
+    return b.df.select("batch", "row", F.posexplode("vec").alias("k", "val")).select("batch", "k", "row", "val")
+
+
+def _gathered(x: DataFrame, like: Dense, n_rows: int) -> Dense:
+    """The inverse of ``_columns``; what is absent is zero."""
+    held = x.groupBy("batch", "row").agg(F.map_from_entries(F.collect_list(F.struct("k", "val"))).alias("m"))
+    vec = F.array(*(F.coalesce(F.try_element_at("m", F.lit(k)), F.lit(0.0)) for k in range(like.width)))
+    return Dense(held.select("batch", "row", vec.alias("vec")), n_rows, like.width, like.n_batch)
+
+
+_SYSTEM = ["batch", "k"]
+
+
+def _times(entries: DataFrame, x: DataFrame, column: str, out: str) -> DataFrame:
+    """(batch, k, row, out): the matrix times a column of x (batch, k, row, ...)."""
+    met = entries.join(x.select("batch", "k", F.col("row").alias("col"), F.col(column).alias("_x")), ["batch", "col"])
+    return met.groupBy("batch", "k", "row").agg(F.sum(F.col("val") * F.col("_x")).alias(out))
+
+
+def _squares(v: DataFrame, column: str, name: str) -> DataFrame:
+    return v.groupBy(*_SYSTEM).agg(F.sum(F.col(column) * F.col(column)).alias(name))
 
-    Each step is one join of the entries with the direction, and two sums by batch; the vectors are checkpointed, so
+
+def _ratio(a: str, b: str) -> Column:
+    return F.when(F.col(b) > 1e-300, F.col(a) / F.col(b)).otherwise(0.0)
+
+
+def _settled(now: DataFrame, first: DataFrame, tolerance: float) -> bool:
+    """Whether every system's square is small beside its first one; one row for each system is compared in Spark."""
+    met = now.toDF(*_SYSTEM, "_now").join(first.toDF(*_SYSTEM, "_first"), _SYSTEM)
+    return met.where(F.col("_now") > tolerance**2 * F.greatest(F.col("_first"), F.lit(1e-300))).isEmpty()
+
+
+def cg_distributed(a: Sparse, b: Dense, tolerance: float = 1e-10, max_iter: int = 200) -> Dense:
+    """A·X = B for symmetric positive definite A whose systems don't fit in a task, every column at once.
+
+    A step is one join of the entries with the directions, and two sums for each system; the vectors are written to the shared folder, so
     the plan doesn't grow and a lost executor costs one step.
     """
-    scratch.ensure(a.spark)
-    a_df = a.df.checkpoint()
-    v = b.select("batch", "row", F.lit(0.0).alias("x"), F.col("val").alias("r"), F.col("val").alias("p")).checkpoint()
-    first = {r.batch: r.rr for r in v.groupBy("batch").agg(F.sum(F.col("r") * F.col("r")).alias("rr")).collect()}
-    rr = dict(first)
+    same_batches(a, b)
+    entries = scratch.cut(a.df)
+    v = scratch.cut(_columns(b.filled()).select("batch", "k", "row", F.lit(0.0).alias("x"), F.col("val").alias("r"), F.col("val").alias("p")))
+    first = rr = scratch.cut(_squares(v, "r", "rr"))
+    for _ in range(max_iter):
+        if _settled(rr, first, tolerance):
+            break
+        v = scratch.cut(v.join(_times(entries, v, "p", "q"), ["batch", "k", "row"], "left").withColumn("q", F.coalesce("q", F.lit(0.0))))
+        along = v.groupBy(*_SYSTEM).agg(F.sum(F.col("p") * F.col("q")).alias("pq")).join(rr, _SYSTEM).select(*_SYSTEM, _ratio("rr", "pq").alias("step"), F.col("rr").alias("old"))
+        v = scratch.cut(v.join(along, _SYSTEM).select("batch", "k", "row", (F.col("x") + F.col("step") * F.col("p")).alias("x"), (F.col("r") - F.col("step") * F.col("q")).alias("r"), "p", "old"))
+        rr = scratch.cut(_squares(v, "r", "rr"))
+        v = scratch.cut(v.join(rr, _SYSTEM).select("batch", "k", "row", "x", "r", (F.col("r") + _ratio("rr", "old") * F.col("p")).alias("p")))
+    return _gathered(v.select("batch", "k", "row", F.col("x").alias("val")), b, a.n_rows)
+
+
+def lstsq_distributed(a: Sparse, b: Dense, tolerance: float = 1e-10, max_iter: int = 400) -> Dense:
+    """Least squares by conjugate gradients on the normal equations, without forming them; for regular A, also its solution."""
+    same_batches(a, b)
+    entries, turned = scratch.cut(a.df), scratch.cut(a.t.df)
+    r = scratch.cut(_columns(b.filled()).withColumnRenamed("val", "r"))
+    s = _times(turned, r, "r", "s")
+    v = scratch.cut(s.select("batch", "k", "row", F.lit(0.0).alias("x"), F.col("s").alias("p"), "s"))
+    first = ss = scratch.cut(_squares(v, "s", "ss"))
     for _ in range(max_iter):
-        if all(rr[k] <= tolerance**2 * max(first[k], 1e-300) for k in rr):
+        if _settled(ss, first, tolerance):
             break
-        ap = a_df.join(v.select("batch", F.col("row").alias("col"), "p"), ["batch", "col"]).groupBy("batch", "row").agg(F.sum(F.col("val") * F.col("p")).alias("ap"))
-        v = v.join(ap, ["batch", "row"], "left").withColumn("ap", F.coalesce("ap", F.lit(0.0)))
-        pap = v.groupBy("batch").agg(F.sum(F.col("p") * F.col("ap")).alias("pap"), F.sum(F.col("r") * F.col("r")).alias("rr"))
-        v = v.join(pap, "batch").withColumn("al", F.when(F.col("pap") > 1e-300, F.col("rr") / F.col("pap")).otherwise(0.0))
-        v = v.select("batch", "row", (F.col("x") + F.col("al") * F.col("p")).alias("x"), (F.col("r") - F.col("al") * F.col("ap")).alias("r"), "p", F.col("rr").alias("old")).checkpoint()
-        new = v.groupBy("batch").agg(F.sum(F.col("r") * F.col("r")).alias("rr"))
-        rr = {r.batch: r.rr for r in new.collect()}
-        beta = F.when(F.col("old") > 1e-300, F.col("rr") / F.col("old")).otherwise(0.0)
-        v = v.join(new, "batch").select("batch", "row", "x", "r", (F.col("r") + beta * F.col("p")).alias("p"))
-    return v.select("batch", "row", F.col("x").alias("val"))
+        q = scratch.cut(_times(entries, v, "p", "q"))
+        along = scratch.cut(_squares(q, "q", "qq").join(ss, _SYSTEM).withColumn("step", _ratio("ss", "qq")).select(*_SYSTEM, "step", F.col("ss").alias("old")))
+        moved = q.join(along, _SYSTEM).select("batch", "k", "row", (F.col("step") * F.col("q")).alias("_m"))
+        r = scratch.cut(r.join(moved, ["batch", "k", "row"], "left").select("batch", "k", "row", (F.col("r") - F.coalesce("_m", F.lit(0.0))).alias("r")))
+        s = _times(turned, r, "r", "s")
+        v = scratch.cut(v.drop("s").join(s, ["batch", "k", "row"]).join(along, _SYSTEM).withColumn("x", F.col("x") + F.col("step") * F.col("p")).drop("step"))
+        ss = scratch.cut(_squares(v, "s", "ss"))
+        v = v.join(ss, _SYSTEM).select("batch", "k", "row", "x", (F.col("s") + _ratio("ss", "old") * F.col("p")).alias("p"), "s")
+    return _gathered(v.select("batch", "k", "row", F.col("x").alias("val")), b, a.n_cols)

@@ -446,11 +446,17 @@ def solve_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(solve.generic_solve(a, product.spmm(a, x), "direct"))
 
 
-@query("SELECT 0::BIGINT AS batch, c_custkey AS row, ((7 * c_custkey) % 11 - 5)::DOUBLE AS val FROM customer")
+@query(_known())
 def solve_cg_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = t.tridiagonal(spark, sf_dir)
-    b = product.spmm(a, t.solution(spark, sf_dir, 1)).df.select("batch", "row", F.get("vec", F.lit(0)).alias("val"))
-    return _rounded(solve.cg_distributed(a, b, tolerance=1e-7))
+    return _out(solve.generic_solve(a, product.spmm(a, t.solution(spark, sf_dir)), "cg", tier="distributed", tolerance=1e-7))
+
+
+@query("SELECT 0::BIGINT AS batch, c_custkey AS row, ((7 * c_custkey) % 11 - 5)::DOUBLE AS c0 FROM customer")
+def least_squares_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twice as many rows as columns, as in the local tier."""
+    a = _tall(spark, sf_dir)
+    return _out(solve.lstsq_distributed(a, product.spmm(a, t.solution(spark, sf_dir, 1)), tolerance=1e-6))
 
 
 @query(f"WITH {_TRI.format(up='UNION ALL SELECT i, i + 1 FROM i WHERE i + 1 < n')} SELECT {_Z}, row, col, (-((7 * row + 4) % 11 - 5) * ((7 * col) % 11 - 5) - ((7 * row + 7) % 11 - 5) * ((7 * col + 3) % 11 - 5))::DOUBLE AS val FROM a")

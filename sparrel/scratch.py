@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure(spark: SparkSession) -> str:
@@ -20,3 +20,13 @@ def ensure(spark: SparkSession) -> str:
 def fresh(spark: SparkSession, label: str) -> str:
     """A path in it that nobody has used."""
     return f"{ensure(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, label: str = "step") -> DataFrame:
+    """The frame as a table in the folder: its lineage ends there, and the constraints that a checkpoint carries on.
+
+    Those double with each step of a loop, until planning takes longer than the steps.
+    """
+    path = fresh(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

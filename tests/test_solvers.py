@@ -202,13 +202,17 @@ def test_least_squares_and_gradients(spark, p):
         solve.lstsq_vjp(a.t, b, out, g)
 
 
-def test_distributed_cg(spark):
-    x = np.stack([spd(15, k) for k in range(2)])
-    _, y = dense(spark, (2, 15, 1))
-    b = spark.createDataFrame([(k, i, float(y[k, i, 0])) for k in range(2) for i in range(15)], "batch long, row long, val double")
-    out = solve.cg_distributed(from_full(spark, x), b, tolerance=1e-9)
-    want = np.linalg.solve(x, y)
-    assert all(abs(r.val - want[r.batch, r.row, 0]) < 1e-6 for r in out.collect())
+def test_distributed_tier(spark, monkeypatch):
+    x = np.stack([spd(9, k) for k in range(2)])
+    b, y = dense(spark, (2, 9, 2))
+    a = from_full(spark, x)
+    assert np.allclose(arrays.to_dense(solve.generic_solve(a, b, "cg", tier="distributed", tolerance=1e-9)), np.linalg.solve(x, y), atol=1e-6)
+    tall = np.random.default_rng(3).normal(size=(9, 4)) + np.eye(9, 4)
+    monkeypatch.setattr(solve, "LOCAL_ENTRIES", 10)
+    side, z = dense(spark, (1, 9, 2), seed=5)
+    assert np.allclose(arrays.to_dense(solve.lstsq(from_full(spark, tall), side, tier="auto"))[0], np.linalg.lstsq(tall, z[0], rcond=None)[0], atol=1e-6)
+    with pytest.raises(ValueError):
+        solve.generic_solve(a, b, tier="other")
 
 
 def test_repeated_entries_add_up_before_a_solve(spark):
