@@ -15,6 +15,17 @@ from pyspark.sql import functions as F
 BLOCK_ROWS = 128
 
 
+#: Rows of a batch that Spark hands to Python at most; texts are long, and both sides hold whole batches.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows to a batch to ``BATCH_ROWS``, if they are more."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "0")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named in ``spark.checkpoint.dir``; a temporary one where none is named, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
