@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sparrel.llm import bpe, decontam, neardup, pii, quality
 from sparrel.llm.catalog import VOCABULARY
-from sparrel.llm.tables import stored
+from sparrel.llm.tables import bounded_batches, stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,27 +19,32 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the learned rules keep."""
+    bounded_batches(spark)
     return quality.keep(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each class of near duplicates."""
+    bounded_batches(spark)
     return neardup.dedup(docs, least=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of the benchmark."""
+    bounded_batches(spark)
     return decontam.decontaminate(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data and secrets replaced; n_chars is that of the new text."""
+    bounded_batches(spark)
     out = pii.redact(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in out.columns else out
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, as little-endian unsigned 32-bit integers, and whether they decode to its text."""
+    bounded_batches(spark)
     out = bpe.round_trip(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
     return out.select("doc_id", "ids", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
