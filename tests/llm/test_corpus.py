@@ -102,6 +102,12 @@ def test_model_beats_the_base_on_held_out_texts(spark):
     assert (rows.s - rows.b) / rows.n > 0.02
 
 
+def test_training_is_not_cut_to_a_budget():
+    assert (lm.BATCH, lm.NOISE, lm.RATE) == (2048, 96, 0.08)
+    share = np.log(np.full(8, 1 / 8))
+    assert np.allclose(lm.Trainer(lm.Model.fresh(share), share).offset, np.log(96 / 8))
+
+
 def test_probabilities_add_up():
     share = np.log(np.full(lm.FREQUENT + lm.RARE, 1 / (lm.FREQUENT + lm.RARE)))
     model = lm.Model.fresh(share)
