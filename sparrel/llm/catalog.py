@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, decontam, lm, neardup, pii, quality, shards, substrings, urls
-from .tables import bounded_batches
+from .tables import bounded_batches, scratch_dir
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -69,9 +70,9 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The slot of each sequence of token ids, in the order of slots."""
-    out = shards.ordered(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
-    return out.select("doc_id", "part", "slot", "shard", "byte_offset", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"))
+    """The slot of each sequence of token ids, in the order of slots, with a digest of its record in the written shards."""
+    folder = f"{scratch_dir(spark)}/shards-{uuid.uuid4().hex}"
+    return shards.materialised(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, folder)
 
 
 def _is(kind: str) -> Callable[[Column], Column]:

@@ -24,12 +24,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import read_ranks
-from .tables import chunks, stored
+from .tables import chunks, released, stored
 from .words import mix
 
 ROUNDS = 6
 #: Ranges that slots are dealt in at most; beyond it a range has several shards.
 MOST_TASKS = 20_000
+#: Parts in which all shards are written one after the other.
+WAVES = 4
 
 
 def feistel(values: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -80,27 +82,63 @@ def sequences(docs: DataFrame, path: str, pattern: str, length: int, end: int, k
     return docs.fillna("", [text]).select(key, text).mapInArrow(run, f"`{key}` {kind}, part long, partition long, place long, n_tokens long, ids binary")
 
 
-def ordered(docs: DataFrame, path: str, pattern: str, length: int = 512, per_shard: int = 4096, end: int = 50_256, order_key: int = 20_240_601, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, part, slot, shard, byte_offset, n_tokens, ids), range-partitioned and sorted by slot, a shard within one partition."""
-    made = stored(sequences(docs, path, pattern, length, end, key, text), "sequences")
+def _numbered(docs: DataFrame, path: str, pattern: str, length: int, end: int, key: str, text: str) -> tuple[DataFrame, int]:
+    """The stored sequences, with the number of those that earlier partitions have, and how many there are."""
+    made = stored(sequences(docs, path, pattern, length, end, key, text), "sequences", "zstd")
     sizes = made.groupBy("partition").agg(F.count("*").alias("n"))
     # two numbers for each partition that was read: their running sum fits in a task, and in a broadcast
     before = sizes.select("partition", (F.sum("n").over(Window.orderBy("partition")) - F.col("n")).alias("before"))
-    total = made.count()
+    return made.join(F.broadcast(before), "partition"), made.count()
+
+
+def _placed(numbered: DataFrame, total: int, length: int, per_shard: int, order_key: int, columns: list[str]) -> DataFrame:
+    """``columns`` of the sequences with their slot, shard and byte_offset."""
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             number = batch.column("before").to_numpy() + batch.column("place").to_numpy()
             slot = pa.array(feistel(number, total, order_key))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column("part"), slot, batch.column("n_tokens"), batch.column("ids")], names=[key, "part", "slot", "n_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(columns))), slot], names=[*columns, "slot"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    placed = made.join(F.broadcast(before), "partition").select(key, "part", "place", "before", "n_tokens", "ids").mapInArrow(slots, f"`{key}` {kind}, part long, slot long, n_tokens long, ids binary")
-    placed = placed.withColumns({"shard": (F.col("slot") / per_shard).cast("long"), "byte_offset": F.col("slot") % per_shard * (2 * length + 1)})
+    schema = ", ".join(f"`{c}` {numbered.schema[c].dataType.simpleString()}" for c in columns)
+    placed = numbered.select(*columns, "place", "before").mapInArrow(slots, f"{schema}, slot long")
+    return placed.withColumns({"shard": (F.col("slot") / per_shard).cast("long"), "byte_offset": F.col("slot") % per_shard * (2 * length + 1)})
+
+
+def _dealt(placed: DataFrame, first: int, shards: int) -> DataFrame:
+    """Range-partitioned and sorted by slot; the shards are so many from ``first`` on, each within one partition."""
     # ranges of equally many shards: slots are dense, so their bounds are known and nothing is sampled
-    shards = max(1, -(-total // per_shard))
     tasks = min(shards, MOST_TASKS)
-    return placed.repartitionById(tasks, F.floor(F.col("shard") * tasks / shards).cast("int")).sortWithinPartitions("slot").select(key, "part", "slot", "shard", "byte_offset", "n_tokens", "ids")
+    return placed.repartitionById(tasks, F.floor((F.col("shard") - first) * tasks / shards).cast("int")).sortWithinPartitions("shard", "slot")
+
+
+def ordered(docs: DataFrame, path: str, pattern: str, length: int = 512, per_shard: int = 4096, end: int = 50_256, order_key: int = 20_240_601, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, part, slot, shard, byte_offset, n_tokens, ids), range-partitioned and sorted by slot, a shard within one partition."""
+    numbered, total = _numbered(docs, path, pattern, length, end, key, text)
+    placed = _placed(numbered, total, length, per_shard, order_key, [key, "part", "n_tokens", "ids"])
+    return _dealt(placed, 0, max(1, -(-total // per_shard))).select(key, "part", "slot", "shard", "byte_offset", "n_tokens", "ids")
+
+
+def materialised(docs: DataFrame, path: str, pattern: str, folder: str, length: int = 512, per_shard: int = 4096, end: int = 50_256, order_key: int = 20_240_601, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Writes all shards to ``folder`` and gives (key, part, slot, shard, byte_offset, n_tokens, ids_sha256) in the order of slots.
+
+    The digests are of the records as read back. Shards are written in ``WAVES``, so only a part of the sequences lies in
+    shuffle files beside the stored sequences and the shards. An empty table writes no shard.
+    """
+    spark = docs.sparkSession
+    numbered, total = _numbered(docs, path, pattern, length, end, key, text)
+    shards = -(-total // per_shard)
+    waves = min(WAVES, shards)
+    for wave in range(waves):
+        low, high = shards * wave // waves, shards * (wave + 1) // waves
+        part = _placed(numbered, total, length, per_shard, order_key, ["ids"]).where(F.col("shard").between(low, high - 1))
+        _dealt(part, low, high - low).select(F.col("ids").cast("string").alias("value"), "shard").write.mode("append").partitionBy("shard").text(folder)
+        del part
+        released(spark)
+    placed = _placed(numbered, total, length, per_shard, order_key, [key, "part", "n_tokens"])
+    empty = spark.createDataFrame([], "slot long, ids binary")
+    back = (read(spark, folder, length, per_shard) if shards else empty).select("slot", F.sha2("ids", 256).alias("ids_sha256"))
+    return _dealt(placed.join(back.hint("merge"), "slot", "left"), 0, max(1, shards)).select(key, "part", "slot", "shard", "byte_offset", "n_tokens", "ids_sha256")
 
 
 def write(frame: DataFrame, folder: str) -> None:
@@ -117,5 +155,5 @@ def read(spark: SparkSession, folder: str, length: int, per_shard: int, first: i
     """(slot, ids) of written shards from slot ``first`` on; only the shards that hold them are opened."""
     stride = 2 * length + 1
     files = spark.read.format("binaryFile").load(folder).where(F.col("shard") >= first // per_shard)
-    records = files.select("shard", "content", F.explode(F.sequence(F.lit(0), (F.length("content") / stride).cast("int") - 1)).alias("k"))
+    records = files.select(F.col("shard").cast("long").alias("shard"), "content", F.explode(F.sequence(F.lit(0), (F.length("content") / stride).cast("int") - 1)).alias("k"))
     return records.select((F.col("shard") * per_shard + F.col("k")).alias("slot"), F.substring("content", F.col("k") * stride + 1, F.lit(2 * length)).alias("ids")).where(F.col("slot") >= first)

@@ -35,17 +35,22 @@ def scratch_dir(spark: SparkSession) -> str:
     return named
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def released(spark: SparkSession) -> None:
+    """The shuffle files of what no frame holds any more go when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def stored(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     """Write a frame to the shared folder and read it again: its lineage ends there, and a lost executor loses nothing.
 
     The tables are scratch; whoever owns the folder clears it after the job.
     """
     spark, schema = df.sparkSession, df.schema
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # the shuffle files of what is now stored go when the driver collects its garbage
+    released(spark)
     return spark.read.schema(schema).parquet(path)
 
 

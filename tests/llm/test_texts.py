@@ -1,6 +1,8 @@
 """Substring dedup, byte-level BPE and training order."""
 
+import glob
 import hashlib
+import os
 import random
 
 import numpy as np
@@ -9,7 +11,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from sparrel.llm import bpe, catalog, shards, substrings
+from sparrel.llm import bpe, catalog, shards, substrings, tables
 
 from tests import oracle
 
@@ -133,3 +135,26 @@ def test_op8_gives_every_slot_once(spark):
     df = catalog.op8_training_order(spark, SF)
     n, lo, hi, kinds = df.agg(F.count("*"), F.min("slot"), F.max("slot"), F.countDistinct("slot")).first()
     assert (lo, hi, kinds) == (0, n - 1, n)
+
+
+def test_op8_writes_shards_and_digests_what_it_reads_back(spark):
+    folder = tables.scratch_dir(spark).removeprefix("file://")
+    before = set(glob.glob(f"{folder}/shards-*"))
+    rows = catalog.op8_training_order(spark, SF).collect()
+    (made,) = set(glob.glob(f"{folder}/shards-*")) - before
+    files = {int(f.split("shard=")[1].split("/")[0]): f for f in glob.glob(f"{made}/shard=*/part-*")}
+    assert sum(os.path.getsize(f) for f in files.values()) == len(rows) * 1025
+    for r in rows:
+        with open(files[r.shard], "rb") as f:
+            f.seek(r.byte_offset)
+            assert hashlib.sha256(f.read(1024)).hexdigest() == r.ids_sha256
+    assert [r.slot for r in rows] == sorted(r.slot for r in rows)
+
+
+def test_shards_written_in_waves(spark, tmp_path):
+    df = spark.createDataFrame([(i, "some words here " * (i % 9)) for i in range(60)], "doc_id long, text string").repartition(3)
+    rows = shards.materialised(df, PATH, P.PATTERN, str(tmp_path / "s"), 16, 4).collect()
+    assert len({r.shard for r in rows}) > shards.WAVES and [r.slot for r in rows] == list(range(len(rows)))
+    back = {r.slot: hashlib.sha256(bytes(r.ids)).hexdigest() for r in shards.read(spark, str(tmp_path / "s"), 16, 4).collect()}
+    assert back == {r.slot: r.ids_sha256 for r in rows}
+    assert shards.materialised(df.where("false"), PATH, P.PATTERN, str(tmp_path / "e")).count() == 0
