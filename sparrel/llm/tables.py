@@ -83,10 +83,11 @@ def chunks(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[p
 def sample(df: DataFrame, key: str, most: int) -> DataFrame:
     """At most so many of the distinct rows, the least by a hash of their key; all of them if they are no more.
 
-    A filter on the hash comes first, so each task passes on a few rows and the driver never gets ``most`` from each.
+    A filter on the hash comes first, so each task passes on a few rows and the driver never gets ``most`` from each. It
+    passes all keys if they are at most twice as many, however often their rows are repeated.
     """
-    share = min(1.0, 2 * most / max(1, df.count()))
     h = F.xxhash64(key)
+    share = min(1.0, 2 * most / max(1, df.select(h.alias("h")).distinct().count()))
     few = df.where(F.pmod(h, F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).distinct()
     return few.orderBy(h, *few.columns).limit(most)
 

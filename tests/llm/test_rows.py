@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sparrel.llm import catalog, chat, pii, quality, urls
+from sparrel.llm import catalog, chat, pii, quality, tables, urls
 
 from . import brute
 
@@ -168,3 +168,10 @@ def test_op10_on_the_driver_table(spark):
         want[conv] = (len(own), hashlib.sha256("".join(f"{r}\n{t or ''}\n" for _, r, t in own).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
     got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in catalog.op10_chat_format(spark, SF).collect()}
     assert got == want
+
+
+def test_samples_keep_the_keys_of_repeated_rows(spark):
+    df = spark.range(40_000).select((F.col("id") % 50).alias("k"), (F.col("id") % 2).alias("label"))
+    assert {r.k for r in tables.sample(df, "k", 100).collect()} == set(range(50))
+    many = tables.sample(spark.range(5000).unionAll(spark.range(5000)), "id", 200).collect()
+    assert len(many) == len({r.id for r in many}) == 200
