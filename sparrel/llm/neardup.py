@@ -10,11 +10,18 @@ one process each, and only the last one is thinned. The register of a document k
 stop at the largest register, so the work is O(runs + m log m), not O(runs * m). Two documents agree in a register with
 exactly the probability of their weighted similarity.
 
-Links. Copies of one text are one node. Nodes that agree in a band of registers are joined by way of the band's least
-node into candidate groups, which hold every pair that agrees in some band: two nodes of similarity s do so but for
-(1 - s**ROWS)**BANDS, 3e-6 at 0.8. A group is dealt in parts of bounded bytes and each pair of parts is a task, so a
-group of any size is verified in full: every pair within it, by the multisets themselves. A task keeps only links that
-join what it has not joined yet, at most one less than its nodes. Components of the links are the classes.
+Links. Copies of one text are one node. Two nodes are candidates if they agree in a band of registers: two of similarity
+s do so but for (1 - s**ROWS)**BANDS, 3e-6 at 0.8. Nodes that share a band are a bucket, and all pairs of a bucket count:
+
+1. Stars. The centre of a bucket is the node with the most company in all its bands, which a text that others were
+   copied from is. Each node is compared with the most central of its buckets' centres: one comparison for a node.
+   Components of the links that are found are labels, and most near copies have one label now.
+2. The rest. Buckets whose nodes have several labels are compared in full, but for pairs within their main label; equal
+   buckets are compared once. The nodes of other labels meet all nodes of the bucket.
+
+Both are dealt in tasks of two parts of bounded bytes each, by the multisets themselves, so no group is too large for a
+task and none is compared by sampling. Only the second step is quadratic, in nodes of one bucket that no star has joined.
+A task returns only links that join what it has not joined yet. Components of all links are the classes.
 
 Null texts count as empty. Rows without a key have no class. Rows that repeat a key share a class. Columns beside key
 and text are not read. An empty table gives an empty result.
@@ -27,10 +34,10 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import chunks, components, stored, utf8
+from .tables import chunks, components, forget, stored, utf8
 from .words import mix, window_hashes, word_hashes
 
 WIDTH = 5
@@ -160,35 +167,83 @@ def verified(left: list[tuple[np.ndarray, np.ndarray]], right: list[tuple[np.nda
     return found
 
 
-def links(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The sketches' membership (id, node) and the links (a, b) between nodes; a node is the least id of its copies."""
-    docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    sketches = stored(_sketches(docs), "sketches")
-    worded = sketches.where(F.size("bands") > 0)
-    nodes = stored(worded.groupBy("copy").agg(F.min("id").alias("node"), F.max("size").alias("size"), F.first("bands").alias("bands")), "nodes")
-    members = sketches.join(nodes.select("copy", "node"), "copy", "left").select("id", F.coalesce("node", "id").alias("node"))
-
-    banded = nodes.select("node", F.explode("bands").alias("band"))
-    hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("band", "hub")
-    groups = components(banded.join(hubs, "band").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
+def _compared(cast: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) from ``cast`` (bucket, node, label, part, low, high): a node of a part meets those of parts low to high.
 
-    sized = groups.join(nodes.groupBy("node").agg(F.max("size").alias("size")), "node")
-    parts = sized.groupBy("component").agg(F.ceil(F.sum("size") / PART_BYTES).cast("int").alias("parts"))
-    dealt = sized.join(parts, "component").select("node", "component", "parts", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
-    bodies = dealt.join(docs, dealt.node == docs.id).select("node", "component", "parts", "part", "text")
-    met = bodies.select("node", "text", "component", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    met = met.select("node", "text", "part", "component", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
+    A pair of parts is a task; within one part, all its pairs. A task whose nodes all have one label has no rows.
+    """
 
     def verify(key: tuple, rows: pa.Table) -> pa.Table:
         _, p, q = (x.as_py() for x in key)
-        ids, part = rows["node"].to_pylist(), rows["part"].to_pylist()
-        bags = [bag(x or b"") for x in rows["text"].cast(pa.binary()).to_pylist()]
+        ids, labels, part = rows["node"].to_pylist(), rows["label"].to_pylist(), rows["part"].to_pylist()
         one, two = ([k for k in range(len(ids)) if part[k] == w] for w in (p, q))
-        pairs = verified([bags[k] for k in one], None if p == q else [bags[k] for k in two], least)
+        pairs = []
+        if len(set(labels)) > 1 and one and two:
+            bags = [bag(x or b"") for x in rows["text"].cast(pa.binary()).to_pylist()]
+            pairs = verified([bags[k] for k in one], None if p == q else [bags[k] for k in two], least)
         found = [(ids[one[i]], ids[(one if p == q else two)[j]]) for i, j in pairs]
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return members, met.groupBy("component", "p", "q").applyInArrow(verify, "a long, b long")
+    bodies = cast.join(docs, cast.node == docs.id).select("bucket", "node", "label", "part", "low", "high", "text")
+    met = bodies.select("bucket", "node", "label", "part", "text", F.explode(F.sequence("low", "high")).alias("other"))
+    met = met.select("bucket", "node", "label", "part", "text", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
+    return met.groupBy("bucket", "p", "q").applyInArrow(verify, "a long, b long")
+
+
+def _dealt(parts: str, first: int | str = 0) -> Column:
+    """The part of a node, of so many from the first on."""
+    first = F.col(first) if isinstance(first, str) else F.lit(first)
+    return (first + F.pmod(F.xxhash64("node"), F.col(parts))).cast("int")
+
+
+def _parts(size: Column) -> Column:
+    return F.greatest(F.lit(1), F.ceil(size / PART_BYTES)).cast("int")
+
+
+def _stars(shared: DataFrame) -> DataFrame:
+    """``cast`` of step 1 from (band, node, size, n): part 0 is the centre, the others hold the nodes that go to it."""
+    central = shared.groupBy("node").agg(F.sum("n").alias("company"))
+    ranked = shared.join(central, "node")
+    centres = ranked.groupBy("band").agg(F.max(F.struct("company", "node")).alias("c")).select("band", "c")
+    own = ranked.join(centres, "band").groupBy("node").agg(F.max("c").alias("c"), F.max("size").alias("size"))
+    own = stored(own.select("node", "size", F.col("c.node").alias("bucket")).where("node <> bucket"), "stars")
+    groups = own.groupBy("bucket").agg(_parts(F.sum("size")).alias("parts"))
+    ends = own.join(groups, "bucket").select("bucket", "node", F.col("node").alias("label"), _dealt("parts", 1).alias("part"), F.lit(0).alias("low"), F.lit(0).alias("high"))
+    return ends.unionByName(groups.select("bucket", F.col("bucket").alias("node"), F.col("bucket").alias("label"), F.lit(0).alias("part"), F.lit(1).alias("low"), F.col("parts").alias("high")))
+
+
+def _rest(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """``cast`` of step 2: the first parts hold the nodes beside the bucket's main label, and meet all; the others hold its own."""
+    tagged = shared.join(labels.toDF("node", "component"), "node", "left").select("band", "node", "size", F.coalesce("component", "node").alias("label"))
+    mark = lambda salt: F.bit_xor(F.xxhash64("node", F.lit(salt)))
+    several = tagged.groupBy("band").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n"), mark(1).alias("m1"), mark(2).alias("m2")).where("least < most")
+    once = several.groupBy("n", "m1", "m2").agg(F.min("band").alias("band")).select("band")
+    still = stored(tagged.join(once, "band"), "open")
+    by_label = still.groupBy("band", "label").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    sides = by_label.groupBy("band").agg(F.max(F.struct("n", "label", "bytes")).alias("main"), F.sum("bytes").alias("bytes"))
+    sides = sides.select("band", F.col("main.label").alias("main"), _parts(F.col("bytes") - F.col("main.bytes")).alias("others"), _parts(F.col("main.bytes")).alias("own"))
+    met = still.join(sides, "band").withColumn("is_main", F.col("label") == F.col("main"))
+    part = F.when(F.col("is_main"), _dealt("own", "others")).otherwise(_dealt("others"))
+    high = F.when(F.col("is_main"), F.col("others") - 1).otherwise(F.col("others") + F.col("own") - 1)
+    return met.select(F.col("band").alias("bucket"), "node", "label", part.alias("part"), F.lit(0).alias("low"), high.alias("high"))
+
+
+def links(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The sketches' membership (id, node) and the links (a, b) between nodes; a node is the least id of its copies."""
+    docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    sketches = stored(_sketches(docs), "sketches")
+    worded = sketches.where(F.size("bands") > 0)
+    nodes = stored(worded.groupBy("copy").agg(F.min("id").alias("node"), F.max("size").alias("size"), F.first("bands").alias("bands")), "nodes")
+    members = stored(sketches.join(nodes.select("copy", "node"), "copy", "left").select("id", F.coalesce("node", "id").alias("node")), "members")
+    forget(sketches)
+
+    banded = nodes.select("node", "size", F.explode("bands").alias("band"))
+    buckets = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    shared = stored(banded.join(buckets, "band"), "shared")
+    stars = stored(_compared(_stars(shared), docs, least), "links")
+    rest = stored(_compared(_rest(shared, components(stars)), docs, least), "links")
+    forget(shared, nodes)
+    return members, stars.union(rest)
 
 
 def classes(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import read_ranks
-from .tables import chunks, released, stored
+from .tables import chunks, shuffles_end, stored
 from .words import mix
 
 ROUNDS = 6
@@ -132,9 +132,8 @@ def materialised(docs: DataFrame, path: str, pattern: str, folder: str, length:
     for wave in range(waves):
         low, high = shards * wave // waves, shards * (wave + 1) // waves
         part = _placed(numbered, total, length, per_shard, order_key, ["ids"]).where(F.col("shard").between(low, high - 1))
-        _dealt(part, low, high - low).select(F.col("ids").cast("string").alias("value"), "shard").write.mode("append").partitionBy("shard").text(folder)
-        del part
-        released(spark)
+        with shuffles_end(spark):
+            _dealt(part, low, high - low).select(F.col("ids").cast("string").alias("value"), "shard").write.mode("append").partitionBy("shard").text(folder)
     placed = _placed(numbered, total, length, per_shard, order_key, [key, "part", "n_tokens"])
     empty = spark.createDataFrame([], "slot long, ids binary")
     back = (read(spark, folder, length, per_shard) if shards else empty).select("slot", F.sha2("ids", 256).alias("ids_sha256"))

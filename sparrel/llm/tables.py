@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,33 +27,55 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; a temporary one where none is named, as in tests."""
+    """The shared folder named in ``spark.checkpoint.dir``. Only a local master may do without one and gets a temporary folder."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.conf.get("spark.master", "").startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="sparrel-")
         spark.sparkContext.setCheckpointDir(named)
     return named
 
 
-def released(spark: SparkSession) -> None:
-    """The shuffle files of what no frame holds any more go when the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_end(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of what is executed meanwhile go as soon as it is done; the session's own setting comes back."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
 
 
 def stored(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     """Write a frame to the shared folder and read it again: its lineage ends there, and a lost executor loses nothing.
 
-    The tables are scratch; whoever owns the folder clears it after the job.
+    The table stays until ``forget`` or the owner of the folder removes it.
     """
     spark, schema = df.sparkSession, df.schema
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=codec)
-    del df
-    released(spark)
+    with shuffles_end(spark):
+        df.write.parquet(path, compression=codec)
     return spark.read.schema(schema).parquet(path)
 
 
+def forget(*frames: DataFrame) -> None:
+    """Removes what ``stored`` has written for the frames, once nothing reads them any more."""
+    for df in frames:
+        root = scratch_dir(df.sparkSession).rstrip("/").split(":")[-1].lstrip("/")
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if f"/{root}/" in folder:
+                path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def block_count(rows: int) -> int:
     """How many blocks hold so many rows: it grows with the rows, so a block does not."""
     return max(1, -(-rows // BLOCK_ROWS))
@@ -98,7 +120,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Nodes without an edge do not appear; null ends and loops are ignored. Each round gives every node the least label
     among its own and its neighbours', then lets it jump to the label of that label, so the rounds grow with the
     logarithm of a component's width. Labels are joined by a key that is unique on one side, hence a hub with very many
-    edges makes as many rows as it has edges and no more.
+    edges makes as many rows as it has edges and no more. Tables of former rounds are removed.
     """
     pairs = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b")
     both = stored(pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
@@ -108,7 +130,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         lower = labels.join(offered, "node").select("node", F.col("label").alias("old"), F.least("label", "offer").alias("label"))
         onward = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
         after = stored(lower.join(onward, "label", "left").select("node", "old", F.least("label", F.coalesce("next", "label")).alias("label")), "labels")
+        forget(labels)
         if after.where("old <> label").isEmpty():
+            forget(both)
             return after.select("node", F.col("label").alias("component"))
         labels = after.select("node", "label")
     raise RuntimeError(f"components have not settled in {rounds} rounds")
