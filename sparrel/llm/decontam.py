@@ -1,18 +1,23 @@
 """Benchmark decontamination by templates: numbers, names and units become typed placeholders.
 
 Words are lower-cased and freed of punctuation at their ends. A word with a digit first is a number; a unit is a word of
-``UNITS`` after a number, or the end of one such as ``5kg``'s (then the word is both); a name begins with a capital
-where no sentence begins. A question with other numbers, names or units thus keeps its template.
-
-Windows of ``WINDOW`` template words with at least ``LITERAL`` plain ones are hashed; of ``SPAN - WINDOW + 1`` neighbours
-the least hash stands for all, so any ``SPAN`` equal words of document and item share a hash. Hashes are joined; the
-documents and items that meet are aligned word by word. A run of equal template words counts if its slots agree: one
-value of the item always stands against the same value of the document, and the other way round; where that fails the
-run is cut. Runs of ``SPAN`` words, or of the whole item if it is shorter, make a document contaminated.
-
-Items of under ``WINDOW`` words are not looked for, as they say too little. Null texts have no words. Rows without a
-key are never reported. Rows that repeat a key are examined one by one and reported once for an item. Columns beside
-key and text are not read. An empty table on either side gives an empty result.
+``UNITS`` after a number, or the end of one such as ``5kg``'s (then the word is both); a name is a run of words that begin
+with a capital, without punctuation between them, and are not of ``STARTERS``. Each name is one token, however many words
+it has, so a question with other numbers, names or units keeps its template.
+
+Both the words themselves and the tokens of the template are looked for. Windows of ``WINDOW`` are hashed; of
+``SPAN - WINDOW + 1`` neighbours the least hash stands for all, so any ``SPAN`` equal words of document and item share a
+hash, whatever they are. So do ``SPAN`` equal tokens, but for stretches where every window has fewer than ``LITERAL`` plain
+words, which are found by their words only. Items that are shorter than ``SPAN`` are hashed whole: by their words, and by
+their template if it has ``LITERAL`` plain words. Hashes are joined; the documents and items that meet are aligned. A run
+of equal words counts. A run of equal tokens counts if its slots agree: one value of the item always stands against the
+same value of the document, and the other way round; where two slots disagree, the runs that hold only one of them are
+taken. Runs of ``SPAN``, or of the whole item if it is shorter, make a document contaminated.
+
+Items of under ``SHORTEST`` words are not looked for: a parameter, as single words are no passages. Null texts have no
+words. Keys must be integers, else TypeError. Rows without a key are never reported. Rows that repeat a key are examined one
+by one and reported once for an item. Columns beside key and text are not read. An empty table on either side gives an
+empty result. The items of a document are dealt in ``SHARES`` lists, so its text is copied so many times at most.
 """
 
 from __future__ import annotations
@@ -26,13 +31,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import chunks, stored, utf8
+from .tables import chunks, integer_key, stored, utf8
 from .words import mix, window_hashes
 
-WINDOW, SPAN, LITERAL = 8, 13, 5
+WINDOW, SPAN, LITERAL, SHORTEST = 8, 13, 5, 3
+SHARES = 64
 NUMBER, NAME, UNIT, PLAIN = 1, 2, 3, 0
 #: Words that are units after a number.
 UNITS = frozenset("% $ € £ mm cm m km in ft mi mg g kg t oz lb lbs ml l ms s sec min h hr d w mph kmh w kw v a hz khz mhz ghz kb mb gb tb usd eur gbp dollar dollars euro euros cent cents pound pounds meter meters metre metres mile miles gram grams kilogram kilograms liter liters litre litres second seconds minute minutes hour hours day days week weeks month months year years percent degree degrees".split())
+#: Words that begin sentences and are no names.
+STARTERS = frozenset("a about after all although an and any are as at because before both but by can could did do does during each either every few find for from given had has have he her here his how however i if in into is it its let many may more most much my neither no not now of on one only or our over she should since so some such suppose than that the their then there these they this those through to two under until was we were what when where whether which while who whose why will with would you your".split())
 _EDGES = b"""!"'()*+,-./:;<=>?[\\]^_`{|}~"""
 _NUMBER = re.compile(rb"[0-9][0-9.,:/]*([a-z%]*)$")
 _MEMO_WORDS = 100_000
@@ -43,18 +51,20 @@ def _plain(word: bytes) -> bytes:
 
 
 class _Words(dict):
-    """Word to one number: a hash of its plain form, the kind it may have, whether a sentence ends with it (1 bit)."""
+    """Word to one signed number: a hash of its plain form, the kind it may have, whether a name goes on after it (1 bit)."""
 
     def __missing__(self, word: bytes) -> int:
         plain = _plain(word)
         number = _NUMBER.match(plain)
+        said = plain.decode()
         if number and (not number[1] or number[1].decode() in UNITS):
             kind = NUMBER
-        elif plain.decode() in UNITS:
+        elif said in UNITS:
             kind = UNIT
         else:
-            kind = NAME if (word.strip(_EDGES) or word).decode()[:1].isupper() else PLAIN
-        made = xxhash.xxh3_64_intdigest(plain) & ~15 | kind << 1 | word.rstrip(b"\"')]").endswith((b".", b"!", b"?", b":"))
+            kind = NAME if (word.strip(_EDGES) or word).decode()[:1].isupper() and said not in STARTERS else PLAIN
+        made = xxhash.xxh3_64_intdigest(plain) & ~15 | kind << 1 | (word[-1:] not in _EDGES)
+        made -= (made >> 63) << 64
         if len(self) >= _MEMO_WORDS:
             self.clear()
         self[word] = made
@@ -64,118 +74,148 @@ class _Words(dict):
 _memo = _Words()
 #: What stands for each kind.
 _HOLDERS = mix(np.arange(1, 5, dtype=np.uint64))
+_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def template(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Template hashes of the words of a text, and their kinds."""
-    codes = np.array(list(map(_memo.__getitem__, words)), dtype=np.uint64)
-    kind = ((codes >> np.uint64(1)) & np.uint64(7)).astype(np.int64)
-    after = np.ones(len(codes), dtype=bool)
-    after[1:] = codes[:-1] & np.uint64(1)
+def streams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of a text; and of its template's tokens their hashes, kinds and first words."""
+    codes = np.fromiter(map(_memo.__getitem__, words), dtype=np.int64, count=len(words)).view(np.uint64)
+    kind = ((codes >> np.uint64(1)) & np.uint64(7)).astype(np.int8)
+    literal = codes >> np.uint64(4)
     number = np.zeros(len(codes), dtype=bool)
     number[1:] = kind[:-1] == NUMBER
-    kind[(kind == NAME) & after] = PLAIN
     kind[(kind == UNIT) & ~number] = PLAIN
-    return np.where(kind == PLAIN, codes >> np.uint64(4), _HOLDERS[kind]), kind
+    name = kind == NAME
+    first = np.ones(len(codes), dtype=bool)
+    first[1:] = ~(name[1:] & name[:-1] & (codes[:-1] & np.uint64(1)).astype(bool))
+    starts = np.flatnonzero(first)
+    kinds = kind[starts]
+    return literal, np.where(kinds == PLAIN, literal[starts], _HOLDERS[kinds]), kinds, starts
 
 
-def _window_marks(raw: bytes, lengths: list[int]) -> np.ndarray:
-    """The hashes that stand for a text: of neighbours the least, and every window of ``lengths`` words."""
-    hashes, kinds = template(raw.split())
+def _rich(kinds: np.ndarray, width: int) -> np.ndarray:
+    """Which windows of tokens have enough plain words."""
     plain = np.concatenate([[0], np.cumsum(kinds == PLAIN)])
-    marks = [np.zeros(0, np.uint64)]
-
-    def windows(width: int) -> np.ndarray:
-        low = window_hashes(hashes, width)
-        poor = plain[width:] - plain[: len(plain) - width] < min(LITERAL, width) if len(low) else np.zeros(0, bool)
-        return np.where(poor, np.uint64(0xFFFFFFFFFFFFFFFF), low)
-
-    low = windows(WINDOW)
-    turn = SPAN - WINDOW + 1
-    if len(low) >= turn:
-        have = 1
-        while have < turn:
-            step = min(have, turn - have)
-            low = np.minimum(low[:-step], low[step:])
-            have += step
-        marks.append(low)
-    marks += [windows(n) for n in lengths]
-    out = np.unique(np.concatenate(marks))
-    return out[out != np.uint64(0xFFFFFFFFFFFFFFFF)]
-
-
-def _mark_rows(df: DataFrame, lengths: list[int]) -> DataFrame:
+    return plain[width:] - plain[: len(plain) - width] >= LITERAL if len(kinds) >= width else np.zeros(0, bool)
+
+
+def _least(low: np.ndarray) -> np.ndarray:
+    """The least of each ``SPAN - WINDOW + 1`` neighbours, where it changes."""
+    turn, have = SPAN - WINDOW + 1, 1
+    if len(low) < turn:
+        return low[:0]
+    while have < turn:
+        step = min(have, turn - have)
+        low = np.minimum(low[:-step], low[step:])
+        have += step
+    return low[np.concatenate([[True], low[1:] != low[:-1]])]
+
+
+def _marks(raw: bytes, short: list[int], short_tokens: list[int]) -> np.ndarray:
+    """The hashes that stand for a text: of neighbours the least, and every window of the short items' lengths."""
+    literal, tokens, kinds, _ = streams(raw.split())
+    template = lambda n: np.where(_rich(kinds, n), window_hashes(tokens, n), _NONE)
+    out = [_least(window_hashes(literal, WINDOW)), _least(template(WINDOW)), *(window_hashes(literal, n) for n in short), *(template(n) for n in short_tokens)]
+    out = np.unique(np.concatenate(out))
+    return out[out != _NONE]
+
+
+def _mark_rows(df: DataFrame, short: list[int], short_tokens: list[int]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            found = [_window_marks(x, lengths) for x in utf8(batch, "text")]
+            found = [_marks(x, short, short_tokens) for x in utf8(batch, "text")]
             ids = np.repeat(batch.column("id").to_numpy(), [len(x) for x in found])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)), pa.array(ids, pa.int64())], names=["mark", "id"])
 
     return df.mapInArrow(run, "mark long, id long")
 
 
+def _short(items: DataFrame) -> tuple[list[int], list[int]]:
+    """The lengths below ``SPAN`` that items have: in words, and in tokens. They are a few numbers, however many items there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            found = [(len(s[0]), len(s[1])) for s in (streams(x.split()) for x in utf8(batch, "text")) if len(s[0]) >= SHORTEST]
+            yield pa.RecordBatch.from_arrays([pa.array([min(x[k], SPAN) for x in found], pa.int64()) for k in (0, 1)], names=["words", "tokens"])
+
+    rows = items.mapInArrow(run, "words long, tokens long").distinct().collect()
+    return sorted({r.words for r in rows if r.words < SPAN}), sorted({r.tokens for r in rows if LITERAL <= r.tokens < SPAN})
+
+
 def _consistent(item: list[bytes], doc: list[bytes], slots: np.ndarray) -> list[tuple[int, int]]:
-    """The parts of an aligned run within which the values in the slots stand one for one."""
+    """The longest parts of an aligned run within which the values in the slots stand one for one; they may overlap."""
     parts, start = [], 0
-    there: dict[bytes, bytes] = {}
-    back: dict[bytes, bytes] = {}
+    there: dict[bytes, tuple[bytes, int]] = {}
+    back: dict[bytes, tuple[bytes, int]] = {}
     for k in np.flatnonzero(slots).tolist():
         a, b = item[k], doc[k]
-        if there.get(a, b) != b or back.get(b, a) != a:
+        (other, i), (former, j) = there.get(a, (b, -1)), back.get(b, (a, -1))
+        last = max(i if other != b else -1, j if former != a else -1)
+        if last >= start:
             parts.append((start, k))
-            start, there, back = k, {}, {}
-        there[a], back[b] = b, a
+            start = last + 1
+        there[a], back[b] = (b, k), (a, k)
     return [*parts, (start, len(item))]
 
 
-def aligned(doc: bytes, item: bytes) -> tuple[int, int, bool]:
-    """(words of the item that consistent runs of the document cover, words of the item, whether a slot has another value)."""
-    dw, iw = doc.split(), item.split()
-    (dh, _), (ih, ik) = template(dw), template(iw)
-    dw, iw = list(map(_plain, dw)), list(map(_plain, iw))
-    least = min(SPAN, len(ih))
-    covered, other = np.zeros(len(ih), dtype=bool), False
-    if least < WINDOW:
-        return 0, len(ih), False
+def _runs(doc: np.ndarray, item: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
+    """(start in the item, stop, shift) of the stretches of at least so many equal hashes."""
     at: dict[int, list[int]] = {}
-    for k, h in enumerate(window_hashes(ih, least).tolist()):
+    for k, h in enumerate(window_hashes(item, least).tolist()):
         at.setdefault(h, []).append(k)
-    own = window_hashes(dh, least)
-    meets = np.flatnonzero(np.isin(own, np.fromiter(at, dtype=np.uint64, count=len(at))))
+    own = window_hashes(doc, least)
     reached: dict[int, int] = {}
-    for d in meets.tolist():
+    for d in np.flatnonzero(np.isin(own, np.fromiter(at, dtype=np.uint64, count=len(at)))).tolist():
         for k in at[int(own[d])]:
             shift = d - k
-            if reached.get(shift, -1) >= d:
-                continue
-            begin, end = max(d, 0), min(len(dh), shift + len(ih))
-            differ = np.flatnonzero(dh[begin:end] != ih[begin - shift : end - shift])
-            stop = begin + int(differ[0]) if len(differ) else end
-            reached[shift] = stop - least
-            own_words, item_words = dw[begin:stop], iw[begin - shift : stop - shift]
-            for a, b in _consistent(item_words, own_words, ik[begin - shift : stop - shift] != PLAIN):
-                if b - a >= least:
-                    covered[begin - shift + a : begin - shift + b] = True
-                    other |= own_words[a:b] != item_words[a:b]
-    return int(covered.sum()), len(ih), other
+            if reached.get(shift, -1) < d:
+                end = min(len(doc), shift + len(item))
+                differ = np.flatnonzero(doc[d:end] != item[k : end - shift])
+                stop = d + int(differ[0]) if len(differ) else end
+                reached[shift] = stop - least
+                yield k, stop - shift, shift
+
+
+def aligned(doc: bytes, item: bytes) -> tuple[int, int, bool]:
+    """(words of the item that runs of the document cover, words of the item, whether some are covered with other values only)."""
+    dw, iw = doc.split(), item.split()
+    n = len(iw)
+    if n < SHORTEST:
+        return 0, n, False
+    (dl, dt, _, ds), (il, it, kinds, starts) = streams(dw), streams(iw)
+    same, covered = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
+    for a, b, _ in _runs(dl, il, min(SPAN, n)):
+        same[a:b] = True
+    least, plain = min(SPAN, len(it)), np.concatenate([[0], np.cumsum(kinds == PLAIN)])
+    if not same.all() and plain[-1] >= LITERAL:
+        dp, ip = list(map(_plain, dw)), list(map(_plain, iw))
+        ends, doc_ends = np.append(starts[1:], n), np.append(ds[1:], len(dw))
+        value = lambda words, first, last, k: b" ".join(words[first[k] : last[k]])
+        for a, b, shift in _runs(dt, it, least):
+            item_values = [value(ip, starts, ends, k) for k in range(a, b)]
+            doc_values = [value(dp, ds, doc_ends, k + shift) for k in range(a, b)]
+            for p, q in _consistent(item_values, doc_values, kinds[a:b] != PLAIN):
+                if q - p >= least and plain[a + q] - plain[a + p] >= LITERAL:
+                    covered[starts[a + p] : ends[a + q - 1]] = True
+    return int((same | covered).sum()), n, bool((covered & ~same).any())
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """(key, item, matched_words, item_words, changed_slots) for each document and item that it holds at least ``SPAN`` words of."""
-    docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL")
-    items = benchmark.select(F.col(item).cast("long").alias("id"), F.col(item_text).alias("text")).where("id IS NOT NULL")
-    sized = items.select(F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("n"))
-    lengths = sorted(r.n for r in sized.where(F.col("n").between(WINDOW, SPAN - 1)).distinct().collect())
-
-    sought = stored(_mark_rows(items, lengths).distinct().select("mark", F.col("id").alias("item")), "marks")
-    met = stored(_mark_rows(docs, lengths).join(sought, "mark").select("id", "item").distinct(), "met")
-    pairs = docs.join(met, "id").join(items.select(F.col("id").alias("item"), F.col("text").alias("item_text")), "item").select("id", "item", "text", "item_text")
+    docs = docs.select(integer_key(docs, key).alias("id"), F.col(text).alias("text")).where("id IS NOT NULL")
+    items = benchmark.select(integer_key(benchmark, item).alias("id"), F.col(item_text).alias("text")).where("id IS NOT NULL")
+    short = _short(items)
+    sought = stored(_mark_rows(items, *short).distinct().select("mark", F.col("id").alias("item")), "marks")
+    met = stored(_mark_rows(docs, *short).join(sought, "mark").select("id", "item").distinct(), "met")
+    said = met.join(items.select(F.col("id").alias("item"), F.col("text").alias("item_text")), "item")
+    lists = said.groupBy("id", F.pmod(F.xxhash64("item"), F.lit(SHARES)).alias("share")).agg(F.collect_list(F.struct("item", "item_text")).alias("items"))
+    pairs = docs.join(lists, "id").select("id", "text", "items")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            found = [aligned(a, b) for a, b in zip(utf8(batch, "text"), utf8(batch, "item_text"), strict=True)]
-            columns = [pa.array([x[k] for x in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("item"), *columns], names=["id", "item", "matched_words", "item_words", "changed_slots"])
+            rows = [(i, s["item"], *aligned(body, (s["item_text"] or "").encode())) for i, body, own in zip(batch.column("id").to_pylist(), utf8(batch, "text"), batch.column("items").to_pylist(), strict=True) for s in own]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["id", "item", "matched_words", "item_words", "changed_slots"])
 
     found = pairs.mapInArrow(run, "id long, item long, matched_words long, item_words long, changed_slots boolean").where("matched_words > 0")
     best = found.groupBy("id", "item").agg(F.max(F.struct("matched_words", "item_words", ~F.col("changed_slots"))).alias("b"))

@@ -23,7 +23,7 @@ Both are dealt in tasks of two parts of bounded bytes each, by the multisets the
 task and none is compared by sampling. Only the second step is quadratic, in nodes of one bucket that no star has joined.
 A task returns only links that join what it has not joined yet. Components of all links are the classes.
 
-Null texts count as empty. Rows without a key have no class. Rows that repeat a key share a class. Columns beside key
+Null texts count as empty. Keys must be integers, else TypeError. Rows without a key have no class. Rows that repeat a key share a class. Columns beside key
 and text are not read. An empty table gives an empty result.
 """
 
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import chunks, components, forget, stored, utf8
+from .tables import chunks, components, forget, integer_key, stored, utf8
 from .words import mix, window_hashes, word_hashes
 
 WIDTH = 5
@@ -230,7 +230,7 @@ def _rest(shared: DataFrame, labels: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """The sketches' membership (id, node) and the links (a, b) between nodes; a node is the least id of its copies."""
-    docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    docs = docs.select(integer_key(docs, key).alias("id"), F.col(text).alias("text"))
     sketches = stored(_sketches(docs), "sketches")
     worded = sketches.where(F.size("bands") > 0)
     nodes = stored(worded.groupBy("copy").agg(F.min("id").alias("node"), F.max("size").alias("size"), F.first("bands").alias("bands")), "nodes")
@@ -253,7 +253,7 @@ def classes(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str
     repeated = members.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("a", "b")
     joined = components(found.union(repeated))
     nodes = of_node.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("node"))
-    ids = docs.select(F.col(key).cast("long").alias("id"))
+    ids = docs.select(integer_key(docs, key).alias("id"))
     own = ids.join(nodes, "id", "left").select("id", F.coalesce("node", "id").alias("node"))
     return own.join(joined, "node", "left").select(F.col("id").alias(key), F.coalesce("component", "node").alias("class_id"))
 

@@ -19,7 +19,7 @@ Whole texts are shuffled once, to the marks of their document, and stored; what
 
 Hashes have 64 bits: that a window is hidden by another one with its hash has odds of 1e-6 among 2e13 windows.
 
-Null texts have no words. Rows without a key are never compared and keep all words. Rows that repeat a key are judged
+Null texts have no words. Keys must be integers, else TypeError. Rows without a key are never compared and keep all words. Rows that repeat a key are judged
 one by one, but not against each other. Columns beside key and text are not read. Empty tables give empty results.
 """
 
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import block_count, block_of, chunks, stored, utf8
+from .tables import block_count, block_of, chunks, integer_key, stored, utf8
 from .words import span_hashes, window_hashes, word_hashes
 
 #: Words of a run that anchors are made of.
@@ -179,7 +179,7 @@ class Automaton:
 
 def dedup(docs: DataFrame, width: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_words, n_removed, kept): for each row its count of words, of removed ones, and the rest joined by a blank as UTF-8."""
-    docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    docs = docs.select(integer_key(docs, key).alias("id"), F.col(text).alias("text"))
     schema = "id long, n_words long, n_removed long, kept binary"
     rows = stored(_segment_rows(docs, width), "segments")
     recurring = rows.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b"), (F.min("segment") < F.max("segment")).alias("several")).where("a < b").select("anchor", "several")

@@ -86,6 +86,13 @@ def block_of(key: Column, blocks: int) -> Column:
     return F.when(key.isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(key), F.lit(blocks))).cast("long")
 
 
+def integer_key(df: DataFrame, key: str) -> Column:
+    """The key as a long; keys that aren't integers are an error at once, as ids are compared by their order."""
+    if (kind := df.schema[key].dataType.simpleString()) not in ("bigint", "int", "smallint", "tinyint", "void"):
+        raise TypeError(f"{key} must be an integer, not {kind}")
+    return F.col(key).cast("long")
+
+
 def utf8(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """The texts of a column as UTF-8, nulls as empty."""
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]

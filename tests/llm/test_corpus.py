@@ -141,11 +141,39 @@ def test_reparameterised_questions(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 3, 4, 5, 6, 7]
 
 
+def test_words_are_found_whatever_they_are(spark):
+    """Items that are short, of numbers, in title case or in capitals; names of other lengths, and at the start of a sentence."""
+    items = ["3 1 4 1 5 9 2 6 5 3 5 8", "who wrote it first", "The Old Man And The Sea Was Written By A Man From Oak Park Illinois", "Alice Smith has 5 apples and gives 2 of them to her friend before they walk home again", "der Hund lief mit dem Ball durch den Wald bis an den See und schlief im Gras"]
+    rows = [f"so {items[0]} then", f"say {items[1]}?", items[2].lower(), items[2].upper(), f"Well. {items[3].replace('Alice Smith', 'Bob').replace('5', '7')}", items[4].lower(), "nothing of the kind stands in this text at all, which has words of its own only", "3 1 4 1 5 9 2 6 5 3 5 9", "who wrote her first"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = decontam.contaminated(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(0, 0), (1, 1), (2, 2), (3, 2), (4, 3), (5, 4)}
+    assert {r.doc_id for r in found if r.changed_slots} == {4}
+    with pytest.raises(TypeError):
+        decontam.contaminated(spark.createDataFrame([("x", "y")], "doc_id string, text string"), docs.withColumnRenamed("doc_id", "item_id"))
+
+
+def _consistent_by_trial(item: list[bytes], doc: list[bytes], slots: list[bool]) -> set[tuple[int, int]]:
+    def fits(a, b):
+        pairs = {(item[k], doc[k]) for k in range(a, b) if slots[k]}
+        return len(pairs) == len({x for x, _ in pairs}) == len({y for _, y in pairs})
+
+    n = len(item)
+    good = {(a, b) for a in range(n) for b in range(a + 1, n + 1) if fits(a, b)}
+    return {(a, b) for a, b in good if (a - 1, b) not in good and (a, b + 1) not in good}
+
+
 def test_slots_must_stand_one_for_one():
     item = b"x gives 5 apples to y and then 5 pears to z before 7 plums go to w again"
     good, bad = item.replace(b"5", b"8"), item.replace(b"5 apples", b"8 apples")
     assert decontam.aligned(good, item)[0] == len(item.split())
-    assert decontam.aligned(bad, item)[0] == 0
+    assert decontam.aligned(bad, item) == (16, 19, False)
+    rng = random.Random(8)
+    for _ in range(300):
+        n = rng.randint(1, 12)
+        item, doc = ([rng.choice([b"1", b"2", b"3"]) for _ in range(n)] for _ in range(2))
+        slots = [rng.random() < 0.7 for _ in range(n)]
+        assert set(decontam._consistent(item, doc, np.array(slots))) >= _consistent_by_trial(item, doc, slots)
 
 
 def test_empty_sides(spark):
@@ -172,7 +200,7 @@ def test_pipeline_against_brute_force(spark):
     second = {c for c in brute.near_classes(rows, 0.8)}
     leaks = {r.doc_id for r in catalog.op6_decontamination(spark, SF).collect()}
     third = second - leaks
-    trees = pii.trained()
+    trees = pii.fit(df.where(F.col("doc_id").isin(list(third))))
     want = {i: pii.redacted(docs[i], sum(pii.all_spans(docs[i], trees), [])) for i in third}
     out = df
     for name, stage in corpus_pipeline.STAGES[:-1]:
