@@ -89,7 +89,7 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     every = F.transform(F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(F.array_position(order, s["kind"]).alias("k"), s["start"].alias("start"), s.alias("s")))), lambda x: x["s"])
     counts = [F.size(F.filter("base", _is(kind))).cast("long").alias(f"n_{kind}") for kind in pii.BASE_KINDS]
-    return found.select("doc_id", *counts, F.sha2(said(F.col("base")), 256).alias("base_sha256"), said(every).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(said(F.col("base")), 256).alias("base_sha256"), said(every).alias("spans"), F.size("added").cast("long").alias("n_added"))
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

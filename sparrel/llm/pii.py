@@ -1,14 +1,20 @@
 """PII: base patterns, and boosted trees over high-recall candidates that add to them.
 
 Base spans (email, ip, card, phone) come from fixed expressions and always stay. Beyond them, generators propose spans
-that may overlap: mixed runs of letters and digits as secrets, groups of digits as phones, addresses spelled out with
-"at" and "dot". Features of their format (lengths, shares of signs, changes between them, entropy, groups) and context (cues
-before them, quotes, an equals sign) go through gradient-boosted trees, grown here in numpy on candidates from seeded
-templates; a threshold for each kind is the least one that is ``PRECISION`` precise on other templated rows. Accepted
-candidates that meet no base span and no better candidate are added.
+that may overlap: runs of letters, digits and a few signs as secrets, and whatever stands after a cue such as ``password:``,
+both of any length; groups of digits as phones; addresses spelled out with "at" and "dot". Features of their format (lengths,
+shares of signs, changes between them, entropy, groups) and context (cues before them, quotes, an equals sign) go through
+gradient-boosted trees, grown in numpy; a threshold for each kind is the least one that is ``PRECISION`` precise on rows that
+the trees were not grown on. Accepted candidates that meet no base span and no better candidate are added.
+
+The trees are fitted on candidates of the documents themselves, and on seeded templates for what documents lack. One view
+of a candidate labels it for the other: base spans say what an email or a phone is and that other kinds are not; a cue before
+a candidate says what it is (``token =``) or isn't (``commit``, ``isbn``). Each such candidate is also shown without its
+cues, so that its format has to decide; candidates that nothing labels aren't used. ``fit`` reads at most ``SAMPLE``
+candidates of about ``SAMPLE_DOCS`` documents, the least by a hash of their text, and this is the one bounded sample here.
 
 Spans are in code points, ends exclusive. Null texts count as empty. Rows are independent: keys may be null or repeat.
-``find`` reads key and text only; ``redact`` keeps all columns. Empty tables give empty results. No shuffle.
+``find`` reads key and text only; ``redact`` keeps all columns. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -16,6 +22,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,6 +31,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .tables import chunks
@@ -75,12 +83,11 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
-_GENERATORS = (
-    ("secret", re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{14,200}(?![A-Za-z0-9_/+-])")),
-    ("phone", re.compile(r"(?<![0-9A-Za-z+.-])\(?[0-9]{2,5}\)?[ .-][0-9]{3,4}(?:[ .-][0-9]{2,4}){0,3}(?![0-9A-Za-z-])")),
-    ("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,40} ?(?:\(at\)|\[at\]|\bat\b) ?[A-Za-z0-9-]{2,40}(?: ?(?:\(dot\)|\[dot\]|\bdot\b|\.) ?[A-Za-z]{2,12})+")),
-)
-_SPELLED = re.compile(r"\(at\)|\[at\]|\bdot\b|\(dot\)|\[dot\]")
+_SECRET = re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{14,}+")
+_LED = re.compile(r"(?:pass(?:word|wd|phrase)?|pwd|token|secret|(?:api|access|private)[_ -]?key|credential)s?[\"']? ?[=:]+ ?[\"']?([^\s\"',;]{4,}+)", re.IGNORECASE)
+_DIALLED = re.compile(r"(?<![0-9A-Za-z+.-])\(?[0-9]{2,5}\)?[ .-][0-9]{3,4}(?:[ .-][0-9]{2,4}){0,3}(?![0-9A-Za-z-])")
+_AT = re.compile(r"\(at\)|\[at\]|\bat\b")
+_HOST = re.compile(r" ?[A-Za-z0-9-]++(?: ?(?:\(dot\)|\[dot\]|\bdot\b) ?[A-Za-z]{2,}+|\.[A-Za-z]{2,}+)+")
 _SECRET_CUE = re.compile(r"(?:pass(?:word|wd|phrase)?|pwd|token|secret|api[_ -]?key|access[_ -]?key|private[_ -]?key|auth|bearer|credential)[\"']? ?[=:]? ?[\"']?$", re.IGNORECASE)
 _PHONE_CUE = re.compile(r"(?:tel|phone|call|mobile|cell|fax|telefon|whatsapp|contact)\.?:? ?(?:\w+ )?$", re.IGNORECASE)
 _MAIL_CUE = re.compile(r"(?:mail|contact|write|reach|email)\S{0,3} (?:\w+ )?$", re.IGNORECASE)
@@ -88,15 +95,30 @@ _OTHER_CUE = re.compile(r"(?:commit|sha-?1?|sha-?256|md5|hash|checksum|isbn|issn
 _PREFIX = re.compile(r"AKIA[A-Z0-9]{16}$|sk-|ghp_|xox[abp]-|AIza")
 _HEX = re.compile(r"[0-9a-fA-F]+$")
 FEATURES = 18
+#: The places of features that tell of cues.
+CUES = slice(10, 14)
+
+
+def _spelled(text: str) -> Iterator[Span]:
+    """Each "at" with the name to its left, which no earlier match holds, and a host to its right."""
+    done = 0
+    for m in _AT.finditer(text):
+        if m.start() < done:
+            continue
+        end = start = m.start() - (text[m.start() - 1 : m.start()] == " ")
+        while start > done and text[start - 1] in _LOCAL:
+            start -= 1
+        if end - start >= 2 and (host := _HOST.match(text, m.end())):
+            done = host.end()
+            yield "email", start, done
 
 
 def candidates(text: str) -> list[Span]:
-    """What the generators propose, in no order."""
-    spelled, digits = _SPELLED.search(text), _DIGIT.search(text)
-    found = [("email", *m.span()) for m in _GENERATORS[2][1].finditer(text)] if spelled else []
-    if digits:
-        found += [(kind, *m.span()) for kind, pattern in _GENERATORS[:2] for m in pattern.finditer(text) if _DIGIT.search(m[0])]
-    return found
+    """What the generators propose, in no order; no span twice."""
+    found = {("secret", *m.span()) for m in _SECRET.finditer(text)} | {("secret", *m.span(1)) for m in _LED.finditer(text)}
+    if _DIGIT.search(text):
+        found |= {("phone", *m.span()) for m in _DIALLED.finditer(text)}
+    return sorted(found | set(_spelled(text)))
 
 
 def features(text: str, span: Span) -> list[float]:
@@ -177,24 +199,43 @@ def _best(x: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[int, float]:
 
 
 PRECISION, TREES, SHRINK, ROWS = 0.99, 60, 0.3, 3000
+SAMPLE, SAMPLE_DOCS = 20_000, 8_000
 
 
-@lru_cache(maxsize=1)
-def trained(seed: int = 11) -> Trees:
-    """Trees grown on ``ROWS`` templated rows, and thresholds from as many others."""
-    rng = random.Random(seed)
-    rows = [_row(rng) for _ in range(2 * ROWS)]
-    x, y = np.array([features(t, s) for t, s, _ in rows]), np.array([g for *_, g in rows], dtype=float)
-    grow, wanted = x[:ROWS], y[:ROWS]
-    odds = np.full(ROWS, bias := math.log(wanted.mean() / (1 - wanted.mean())))
+def weak_label(text: str, span: Span, x: list[float], base: list[Span]) -> int | None:
+    """1 or 0 where a base span or a cue tells what a candidate is, else None."""
+    kind, start, end = span
+    met = {k for k, s, e in base if s < end and start < e}
+    if met:
+        return int(kind in met)
+    secret, phone, mail, other = (bool(v) for v in x[CUES])
+    own = {"secret": secret, "phone": phone, "email": mail and bool(x[17])}[kind]
+    return None if own == other else int(own)
+
+
+def labelled(text: str) -> list[tuple[list[float], int]]:
+    """(features, label) of the labelled candidates of a text, each also without its cues."""
+    base, out = base_spans(text), []
+    for span in candidates(text):
+        x = features(text, span)
+        if (label := weak_label(text, span, x, base)) is not None:
+            bare = [*x]
+            bare[CUES] = [0.0] * 4
+            out += [(x, label)] if bare == x else [(x, label), (bare, label)]
+    return out
+
+
+def _grown(x: np.ndarray, y: np.ndarray, held: np.ndarray, held_y: np.ndarray) -> Trees:
+    """Trees from (x, y), and the thresholds that the held-out rows give."""
+    odds = np.full(len(y), bias := math.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     splits, bounds, values = [], [], []
     for _ in range(TREES):
         p = 1 / (1 + np.exp(-odds))
-        g, h = wanted - p, p * (1 - p)
-        root = _best(grow, g, h)
-        side = grow[:, root[0]] > root[1]
-        pair = [_best(grow[m], g[m], h[m]) if m.any() else (0, np.inf) for m in (~side, side)]
-        inner = np.where(side, grow[:, pair[1][0]] > pair[1][1], grow[:, pair[0][0]] > pair[0][1])
+        g, h = y - p, p * (1 - p)
+        root = _best(x, g, h)
+        side = x[:, root[0]] > root[1]
+        pair = [_best(x[m], g[m], h[m]) if m.any() else (0, np.inf) for m in (~side, side)]
+        inner = np.where(side, x[:, pair[1][0]] > pair[1][1], x[:, pair[0][0]] > pair[0][1])
         leaf = 2 * side + inner
         value = SHRINK * np.bincount(leaf, g, 4) / (np.bincount(leaf, h, 4) + 1)
         odds += value[leaf]
@@ -202,39 +243,82 @@ def trained(seed: int = 11) -> Trees:
         bounds.append([root[1], pair[0][1], pair[1][1]])
         values.append(value)
     made = Trees(bias, np.array(splits), np.array(bounds), np.array(values), {})
-    scores, kinds, good = made.odds(x[ROWS:]), x[ROWS:, 0], y[ROWS:]
+    scores = made.odds(held)
     for k, kind in enumerate(KINDS):
-        own = np.flatnonzero(kinds == k)
+        own = np.flatnonzero(held[:, 0] == k)
         if len(own):
             order = own[np.argsort(-scores[own], kind="stable")]
-            precise = np.cumsum(good[order]) / np.arange(1, len(order) + 1) >= PRECISION
+            precise = np.cumsum(held_y[order]) / np.arange(1, len(order) + 1) >= PRECISION
             made.least[kind] = max(0.0, float(scores[order[np.flatnonzero(precise)[-1]]])) if precise.any() else np.inf
     return made
 
 
+@lru_cache(maxsize=1)
+def _templated(seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    rng = random.Random(seed)
+    rows = [_row(rng) for _ in range(2 * ROWS)]
+    return np.array([features(t, s) for t, s, _ in rows]), np.array([g for *_, g in rows], dtype=float)
+
+
+def trained(x: np.ndarray | None = None, y: np.ndarray | None = None) -> Trees:
+    """Trees from half of the labelled rows (features, 0 or 1) and of the templated ones, thresholds from the other halves."""
+    tx, ty = _templated()
+    x, y = (np.zeros((0, FEATURES)), np.zeros(0)) if x is None else (x, y)
+    half = len(y) // 2  # rows are in the order of their texts' hashes, so the halves are of different texts
+    return _grown(np.concatenate([tx[:ROWS], x[:half]]), np.concatenate([ty[:ROWS], y[:half]]), np.concatenate([tx[ROWS:], x[half:]]), np.concatenate([ty[ROWS:], y[half:]]))
+
+
+def sampled(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of candidates of a bounded sample of the documents, in an order that a hash gives."""
+    h = F.xxhash64(text)
+    share = min(1.0, 2 * SAMPLE_DOCS / max(1, docs.count()))
+    few = docs.where(F.col(text).isNotNull() & (F.pmod(h, F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))).select(h.alias("h"), F.col(text).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            rows = [(h, x, y) for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for x, y in labelled(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.float64())), pa.array([r[2] for r in rows], pa.int64())], names=["h", "x", "y"])
+
+    # one text for each hash, so that copies weigh as one; the rows of one text stay together
+    rows = few.groupBy("h").agg(F.first("text").alias("text")).orderBy("h").limit(SAMPLE_DOCS).mapInArrow(run, "h long, x array<double>, y long").orderBy("h", "x", "y").limit(SAMPLE).collect()
+    return np.array([r.x for r in rows]).reshape(-1, FEATURES), np.array([r.y for r in rows], dtype=float)
+
+
+def fit(docs: DataFrame, text: str = "text") -> Trees:
+    """Trees for these documents."""
+    return trained(*sampled(docs, text))
+
+
 def all_spans(text: str, trees: Trees) -> tuple[list[Span], list[Span]]:
     """(base spans, added spans), each by kind, then start."""
     base = base_spans(text)
     proposed = candidates(text)
     if not proposed:
         return base, []
-    taken = sorted((s, e) for _, s, e in base)
+    taken: list[tuple[int, int]] = []  # disjoint and in order
+    for s, e in sorted((s, e) for _, s, e in base):
+        if taken and s < taken[-1][1]:
+            s, e = taken[-1][0], max(e, taken.pop()[1])
+        taken.append((s, e))
     odds = trees.odds(np.array([features(text, c) for c in proposed]))
     added: list[Span] = []
     for k in np.argsort(-odds, kind="stable").tolist():
         kind, start, end = proposed[k]
-        if odds[k] >= trees.least.get(kind, np.inf) and not any(s < end and start < e for s, e in taken):
+        if odds[k] < trees.least.get(kind, np.inf):
+            continue
+        at = bisect_left(taken, (start, start))
+        if (at == len(taken) or taken[at][0] >= end) and (at == 0 or taken[at - 1][1] <= start):
             added.append(proposed[k])
-            taken.append((start, end))
+            taken.insert(at, (start, end))
     return base, sorted(added, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
 
-def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, base, added): spans (kind, start, end), each list by kind, then start."""
-    trees, kind = trained(), docs.schema[key].dataType.simpleString()
+def find(docs: DataFrame, key: str = "doc_id", text: str = "text", trees: Trees | None = None) -> DataFrame:
+    """(key, base, added): spans (kind, start, end), each list by kind, then start. Without trees, they are fitted first."""
+    trees, kind = trees or fit(docs, text), docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
@@ -256,9 +340,9 @@ def redacted(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[done:]])
 
 
-def redact(docs: DataFrame, text: str = "text") -> DataFrame:
+def redact(docs: DataFrame, text: str = "text", trees: Trees | None = None) -> DataFrame:
     """The documents with personal data and secrets replaced in their text; null texts stay null."""
-    trees, at = trained(), docs.columns.index(text)
+    trees, at = trees or fit(docs, text), docs.columns.index(text)
     schema = T.StructType(docs.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
