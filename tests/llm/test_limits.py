@@ -17,17 +17,17 @@ SOLID = "x1" * 300_000
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    rows = [(1, WORDS, "a"), (2, WORDS + f" {ITEM}", None), (3, LOOP, "a"), (4, SOLID, "b"), (5, "+1" * 50_000 + "a@" * 50_000 + "1." * 50_000, "b"), (None, None, None)]
+    rows = [(1, WORDS, "a"), (2, WORDS + f" {ITEM}", None), (3, LOOP, "a"), (4, SOLID, "b"), (6, "same " * 120_000, "a"), (7, "same " * 120_000 + "end", "b"), (5, "+1" * 50_000 + "a@" * 50_000 + "1." * 50_000, "b"), (None, None, None)]
     return spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).cache()
 
 
 def test_long_texts_in_substring_dedup(docs):
     got = {r.doc_id: (r.n_words, r.n_removed) for r in substrings.dedup(docs).select("doc_id", "n_words", "n_removed").collect()}
-    assert got[1] == (120_000, 0) and got[2][1] == 120_000 and got[3] == (120_000, 0) and got[4] == (1, 0) and got[None] == (0, 0)
+    assert got[1] == (120_000, 0) and got[2][1] == 120_000 and got[3] == (120_000, 0) and got[4] == (1, 0) and got[None] == (0, 0) and got[6][1] == 0 and got[7] == (120_001, 120_000)
 
 
 def test_long_texts_in_near_dedup(docs):
-    assert {r.doc_id: r.class_id for r in neardup.classes(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, None: None}
+    assert {r.doc_id: r.class_id for r in neardup.classes(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6, 7: 6, None: None}
 
 
 def test_long_texts_in_statistics(docs):
@@ -37,9 +37,9 @@ def test_long_texts_in_statistics(docs):
 
 
 def test_long_texts_elsewhere(spark, docs):
-    assert lm.score(docs).count() == 6
+    assert lm.score(docs).count() == 8
     assert {r.doc_id for r in decontam.contaminated(docs, spark.createDataFrame([(1, ITEM)], "item_id long, text string")).collect()} == {2}
-    assert {r.doc_id: len(r.base) for r in pii.find(docs).collect() if r.doc_id != 5} == {1: 0, 2: 0, 3: 0, 4: 0, None: 0}
+    assert {r.doc_id: len(r.base) for r in pii.find(docs).collect() if r.doc_id != 5} == {1: 0, 2: 0, 3: 0, 4: 0, 6: 0, 7: 0, None: 0}
     assert {r.doc_id: bytes(r.decoded).decode() for r in bpe.round_trip(docs, PATH, P.PATTERN).collect()} == {r.doc_id: r.text or "" for r in docs.collect()}
     assert shards.ordered(docs.where("doc_id < 4"), PATH, P.PATTERN).agg(F.countDistinct("slot") == F.count("*")).first()[0]
     turns = docs.select(F.col("doc_id").alias("conv_id"), F.lit(0).alias("turn"), F.lit("assistant").alias("role"), "text")

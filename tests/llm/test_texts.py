@@ -4,6 +4,7 @@ import glob
 import hashlib
 import os
 import random
+import time
 
 import numpy as np
 import public_tokenizers as P
@@ -55,6 +56,26 @@ def test_substring_dedup_equals_brute_force(spark, width):
     assert _by_text(got) == _by_text(want)
 
 
+def test_repeated_words_cost_no_more_than_others():
+    """Passages and documents of one repeated word, or of a few: all hits of equal surroundings are one."""
+    rng = random.Random(4)
+    for period in (1, 2, 7, 30):
+        words = [b"w%d" % rng.randrange(9) for _ in range(period)]
+        for n, m, lead in ((60, 55, 0), (400, 130, 3), (51, 49, 0), (50, 700, 1)):
+            passage, doc = (words * 700)[:n], [b"x"] * lead + (words * 700)[3 : 3 + m] + [b"y"]
+            got = substrings.Automaton([(1, b" ".join(passage)), (1, b" ".join(passage))], 50).covered(2, doc)
+            held = {tuple(passage[k : k + 50]) for k in range(n - 49)}
+            want = np.zeros(len(doc), dtype=bool)
+            for k in range(len(doc) - 49):
+                if tuple(doc[k : k + 50]) in held:
+                    want[k : k + 50] = True
+            assert got.tolist() == want.tolist()
+    start = time.perf_counter()
+    long = [b"same"] * 120_000
+    assert substrings.Automaton([(1, b" ".join(long))], 50).covered(2, long).all()
+    assert time.perf_counter() - start < 30
+
+
 def test_substring_dedup_of_an_empty_table(spark):
     assert substrings.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
