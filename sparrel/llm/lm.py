@@ -3,12 +3,15 @@
 Tokens are words with A-Z in lower case, and one end for each text. Counts cover every training text: workers count,
 Spark adds up. The model predicts classes: each of the most frequent tokens is one, every other token belongs to one of
 ``RARE`` classes by its last two bytes, and shares its class's probability by its own count plus one, where all unknown
-tokens of a class count as one more type. Hence the probabilities of all tokens, known and unknown, sum to one.
+tokens of a class count as one more type. Hence the probabilities of all tokens, known and unknown, sum to one. How many
+tokens and classes there are is a parameter of ``score``; the counts within classes grow with the corpus.
 
 The score of a class after two others is the product of its vector with a linear map of theirs, plus a bias that starts
-at the log of its share, so the untrained model is the unigram model. Each partition of the training texts trains from
-the same start with NCE, noise shared within a batch, and the parameters are averaged by trained tokens in a tree of
-bounded groups: every training text takes part, and the driver gets one set of parameters however many texts there are.
+at the log of its share, so the untrained model is the unigram model. Training texts are dealt in parts of about
+``PART_TOKENS`` tokens by a hash of key and text, so parts don't depend on files or the cluster. In each of ``ROUNDS`` rounds
+every part trains from the same start on its share of texts with NCE, noise shared within a batch, and the parameters are
+averaged by trained tokens in a tree of bounded groups and start the next round: every training text takes part once, and
+the driver gets one set of parameters however many texts there are.
 Scores are normalised exactly: log normalisers of pairs of classes are kept in a table.
 
 Counts of the ``KNOWN`` most frequent tokens, a bounded table, go to the workers. Other tokens are joined with their
@@ -31,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import chunks, stored, utf8
+from .tables import chunks, forget, stored, utf8
 
 #: The end of a text; no word is empty.
 END = b""
@@ -41,6 +44,8 @@ KNOWN_BYTES = 64
 DIM, BATCH, NOISE, RATE, SEED = 24, 2048, 96, 0.08, 7
 #: Tokens that a worker counts before it passes them on; sets of parameters that are averaged at once.
 COUNTED, AVERAGED = 300_000, 64
+#: Tokens of a part, rounds of averaging, and tokens of texts that are shuffled together within a part.
+PART_TOKENS, ROUNDS, SHUFFLED = 1 << 21, 2, 1 << 16
 
 
 def tokens(raw: bytes) -> list[bytes]:
@@ -51,10 +56,6 @@ def held_out(key: str = "id"):
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 7 == 2, F.lit(False))
 
 
-def rare_class(token: bytes) -> int:
-    return FREQUENT + zlib.crc32(token[-2:]) % RARE
-
-
 def count(docs: DataFrame) -> DataFrame:
     """(token, c) of all texts."""
 
@@ -141,56 +142,83 @@ class Trainer:
             x -= RATE * damp * d / np.sqrt(total)
 
 
-class _Tails(dict):
+class Tails(dict):
     """Last two bytes of a rare token to -1 - its class; there are 65,793 of them at most."""
 
+    def __init__(self, frequent: int, rare: int) -> None:
+        super().__init__()
+        self.frequent, self.rare = frequent, rare
+
     def __missing__(self, tail: bytes) -> int:
-        self[tail] = code = -1 - rare_class(tail)
+        self[tail] = code = -1 - self.frequent - zlib.crc32(tail) % self.rare
         return code
 
 
-_tails = _Tails()
-
-
-def _places(known: dict[bytes, int], words: list[bytes]) -> np.ndarray:
+def _places(known: dict[bytes, int], tails: Tails, words: list[bytes]) -> np.ndarray:
     """The places of known tokens, and -1 - their class for others."""
-    return np.array([known[w] if w in known else _tails[w[-2:]] for w in words], dtype=np.int64)
+    return np.array([known[w] if w in known else tails[w[-2:]] for w in words], dtype=np.int64)
 
 
-def _classes(frequent: dict[bytes, int], words: list[bytes]) -> np.ndarray:
-    at = _places(frequent, words)
+def _classes(frequent: dict[bytes, int], tails: Tails, words: list[bytes]) -> np.ndarray:
+    at = _places(frequent, tails, words)
     return np.where(at < 0, -1 - at, at)
 
 
-def train(docs: DataFrame, frequent: dict[bytes, int], log_share: np.ndarray) -> Model:
-    """The average of what each partition's texts make of the same start."""
-    end = frequent[END]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer, seen = Trainer(Model.fresh(log_share), log_share), 0
-        for batch in chunks(batches):
-            lines = [np.concatenate([[end, end], _classes(frequent, tokens(raw))]) for raw in utf8(batch, "text")]
-            lasts2, lasts, nexts = (np.concatenate([x[k : len(x) - 2 + k] for x in lines]) for k in range(3))
-            order = trainer.rng.permutation(len(nexts))
-            for at in range(0, len(order), BATCH):
-                part = order[at : at + BATCH]
-                trainer.step(lasts2[part], lasts[part], nexts[part])
-            seen += len(order)
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([seen], pa.int64()), pa.array([trainer.model.pack()], pa.binary())], names=["part", "seen", "packed"])
-
-    def average(rows: pa.Table) -> pa.Table:
-        weights = np.array(rows["seen"].to_pylist(), dtype=np.float64)
-        total = sum(w * np.frombuffer(x, dtype="<f4").astype(np.float64) for w, x in zip(weights, rows["packed"].to_pylist(), strict=True))
-        packed = (total / weights.sum()).astype("<f4").tobytes()
-        return pa.table({"part": pa.array([min(rows["part"].to_pylist())], pa.int64()), "seen": pa.array([int(weights.sum())], pa.int64()), "packed": pa.array([packed], pa.binary())})
-
-    schema = "part long, seen long, packed binary"
-    sets = stored(docs.select("text").mapInArrow(run, schema), "parameters")
-    while (n := sets.count()) > 1:
-        sets = stored(sets.groupBy(F.pmod(F.xxhash64("part"), F.lit(-(-n // AVERAGED)))).applyInArrow(average, schema), "parameters")
-    got = sets.collect()
-    return Model.unpack(bytes(got[0].packed)) if got else Model.fresh(log_share)
+def _average(rows: pa.Table) -> pa.Table:
+    rows = rows.sort_by("part")
+    weights = np.array(rows["seen"].to_pylist(), dtype=np.float64)
+    total = sum(w * np.frombuffer(x, dtype="<f4").astype(np.float64) for w, x in zip(weights, rows["packed"].to_pylist(), strict=True))
+    packed = (total / weights.sum()).astype("<f4").tobytes()
+    return pa.table({"part": pa.array([min(rows["part"].to_pylist())], pa.int64()), "seen": pa.array([int(weights.sum())], pa.int64()), "packed": pa.array([packed], pa.binary())})
+
+
+def train(docs: DataFrame, frequent: dict[bytes, int], tails: Tails, log_share: np.ndarray, n_tokens: int) -> Model:
+    """From texts (id, text) of so many tokens; the same for any partitioning of them."""
+    end, parts, schema = frequent[END], max(1, -(-n_tokens // PART_TOKENS)), "part long, seen long, packed binary"
+    n_frequent, n_rare = tails.frequent, tails.rare
+    h = F.xxhash64("id", "text")
+
+    def trained(start: bytes):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            trainer, seen, own, lines, held, part = Trainer(Model.unpack(start), log_share), 0, Tails(n_frequent, n_rare), [], 0, 0
+
+            def learn() -> None:
+                lasts2, lasts, nexts = (np.concatenate([x[k : len(x) - 2 + k] for x in lines]) for k in range(3))
+                order = trainer.rng.permutation(len(nexts))
+                for at in range(0, len(order), BATCH):
+                    some = order[at : at + BATCH]
+                    trainer.step(lasts2[some], lasts[some], nexts[some])
+
+            for batch in chunks(batches):
+                part = batch.column("part")[0].as_py()
+                for raw in utf8(batch, "text"):
+                    lines.append(np.concatenate([[end, end], _classes(frequent, own, tokens(raw))]))
+                    held += len(lines[-1]) - 2
+                    if held >= SHUFFLED:
+                        learn()
+                        seen, lines, held = seen + held, [], 0
+            if lines:
+                learn()
+                seen += held
+            if seen:
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([seen], pa.int64()), pa.array([trainer.model.pack()], pa.binary())], names=["part", "seen", "packed"])
+
+        return run
+
+    model = Model.fresh(log_share)
+    for turn in range(ROUNDS):
+        some = docs.select("text", h.alias("h")).where(F.pmod("h", F.lit(ROUNDS)) == turn)
+        some = some.select("text", "h", F.pmod(F.shiftrightunsigned("h", 8), F.lit(parts)).cast("int").alias("part"))
+        dealt = some.repartitionById(parts, "part").sortWithinPartitions("h", "text").select("text", "part")
+        sets = stored(dealt.mapInArrow(trained(model.pack()), schema), "parameters")
+        while (n := sets.count()) > 1:
+            fewer = stored(sets.groupBy(F.pmod(F.xxhash64("part"), F.lit(-(-n // AVERAGED)))).applyInArrow(_average, schema), "parameters")
+            forget(sets)
+            sets = fewer
+        got = sets.collect()
+        forget(sets)
+        model = Model.unpack(bytes(got[0].packed)) if got else model
+    return model
 
 
 class Scorer:
@@ -217,8 +245,12 @@ class Scorer:
         return (self.second[last2, word] + self.first[last, word] + self.bias[word] - norms).astype(np.float64)
 
 
-def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row; scores are log10 probabilities."""
+def score(docs: DataFrame, key: str = "doc_id", text: str = "text", n_frequent: int = FREQUENT, n_rare: int = RARE) -> DataFrame:
+    """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row; scores are log10 probabilities.
+
+    ``n_frequent`` tokens are classes of their own, all others share ``n_rare`` classes; time and memory of a worker grow with
+    the square of their sum, which is 32,767 at most.
+    """
     docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).withColumn("held_out", held_out())
     learning = docs.where("NOT held_out")
     counts = stored(count(learning), "counts")
@@ -230,32 +262,33 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     lowest = min((k for (k, _), n in zip(sizes, np.cumsum([n for _, n in sizes]), strict=True) if n <= KNOWN), default=None)
     known = {bytes(r.token): r.c for r in short.where(step >= lowest).collect()} if lowest is not None else {}
     known[END] = (counts.where(F.col("token") == F.lit(bytearray(END))).agg(F.sum("c")).first()[0]) or 0
-    ranked = sorted(known, key=lambda w: (w != END, -known[w], w))[:FREQUENT]
+    ranked = sorted(known, key=lambda w: (w != END, -known[w], w))[:n_frequent]
     frequent = {w: i for i, w in enumerate(ranked)}
-    of_rare = {r.k: (r.n, r.v) for r in counts.where(~F.col("token").isin([bytearray(w) for w in ranked])).groupBy((F.crc32(F.substring("token", -2, 2)) % RARE).alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
-    rare = np.array([of_rare.get(k, (0, 0)) for k in range(RARE)], dtype=np.float64)
-    mass = np.concatenate([[known[w] for w in ranked], [0] * (FREQUENT - len(ranked)), rare[:, 0]]) + 1.0
+    of_rare = {r.k: (r.n, r.v) for r in counts.where(~F.col("token").isin([bytearray(w) for w in ranked])).groupBy((F.crc32(F.substring("token", -2, 2)) % n_rare).alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
+    rare = np.array([of_rare.get(k, (0, 0)) for k in range(n_rare)], dtype=np.float64)
+    mass = np.concatenate([[known[w] for w in ranked], [0] * (n_frequent - len(ranked)), rare[:, 0]]) + 1.0
     log_share = np.log(mass / mass.sum())
 
     spark = docs.sparkSession
-    model = train(learning, frequent, log_share)
+    model = train(learning, frequent, Tails(n_frequent, n_rare), log_share, n_all)
     words = list(known)
     shared = spark.sparkContext.broadcast((model.pack(), words, np.array([known[w] for w in words]), frequent))
     # log10 of what a token's count plus one is divided by within its class; a frequent token is alone in its class
-    below = np.concatenate([np.zeros(FREQUENT), np.log10(rare.sum(axis=1) + 1)])
+    below = np.concatenate([np.zeros(n_frequent), np.log10(rare.sum(axis=1) + 1)])
     base_below = float(np.log10(n_all + n_kinds + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed, words, c, frequent = shared.value
         place = {w: i for i, w in enumerate(words)}
-        classes, logs, end = _classes(frequent, words), np.log10(c + 1.0), frequent[END]
+        tails = Tails(n_frequent, n_rare)
+        classes, logs, end = _classes(frequent, tails, words), np.log10(c + 1.0), frequent[END]
         scorer = Scorer(Model.unpack(packed))
         row = TaskContext.get().partitionId() << 40
         for batch in chunks(batches):
             out: dict[str, list] = {k: [] for k in ("row", "n_tokens", "n_known", "base", "own", "others")}
             for raw in utf8(batch, "text"):
                 said = tokens(raw)
-                at = _places(place, said)
+                at = _places(place, tails, said)
                 other = np.flatnonzero(at < 0)
                 line = np.empty(len(at) + 2, dtype=np.int64)
                 line[:2] = end
@@ -266,7 +299,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
                 log_c = logs[at]
                 log_c[other] = 0
                 word = line[2:]
-                within = np.where(word < FREQUENT, 0, log_c) - below[word]
+                within = np.where(word < n_frequent, 0, log_c) - below[word]
                 out["row"].append(row)
                 out["n_tokens"].append(len(said))
                 out["n_known"].append(int((c[at] > 0).sum() - (c[at[other]] > 0).sum()))

@@ -108,6 +108,13 @@ def test_training_is_not_cut_to_a_budget():
     assert np.allclose(lm.Trainer(lm.Model.fresh(share), share).offset, np.log(96 / 8))
 
 
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm, "PART_TOKENS", 900)
+    df = spark.createDataFrame(_said(), "doc_id long, text string")
+    one, two = (sorted((repr(r.doc_id), r.n_tokens, round(r.score, 6)) for r in lm.score(df.repartition(n), n_frequent=40, n_rare=8).collect()) for n in (3, 17))
+    assert one == two and len(one) == len(_said())
+
+
 def test_probabilities_add_up():
     share = np.log(np.full(lm.FREQUENT + lm.RARE, 1 / (lm.FREQUENT + lm.RARE)))
     model = lm.Model.fresh(share)
