@@ -152,6 +152,24 @@ def test_training_order_and_shards(spark, official, tmp_path):
     assert shards.ordered(df.where("false"), PATH, P.PATTERN).count() == 0
 
 
+def test_slots_do_not_depend_on_partitions(spark):
+    rows = [(k % 40 if k % 7 else None, None if k % 11 == 0 else f"text {k % 50} " * (k % 30)) for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one, two = (sorted((r.slot, r.doc_id, r.part, r.n_tokens, bytes(r.ids)) for r in shards.ordered(df.repartition(n), PATH, P.PATTERN, 16, 8).collect()) for n in (3, 17))
+    assert one == two
+
+
+def test_ids_must_fit(spark, tmp_path):
+    df = spark.createDataFrame([(1, "some words here")], "doc_id long, text string")
+    with pytest.raises(ValueError):
+        shards.ordered(df, PATH, P.PATTERN, end=70_000)
+    with pytest.raises(ValueError):
+        shards.ordered(df.withColumnRenamed("doc_id", "part"), PATH, P.PATTERN, key="part")
+    row = shards.materialised(df, PATH, P.PATTERN, str(tmp_path / "w"), 4, 2, end=70_000, id_bytes=4).first()
+    back = shards.read(spark, str(tmp_path / "w"), 4, 2, id_bytes=4).first()
+    assert np.frombuffer(back.ids, "<u4")[row.n_tokens - 1] == 70_000 and hashlib.sha256(back.ids).hexdigest() == row.ids_sha256
+
+
 def test_op8_gives_every_slot_once(spark):
     df = catalog.op8_training_order(spark, SF)
     n, lo, hi, kinds = df.agg(F.count("*"), F.min("slot"), F.max("slot"), F.countDistinct("slot")).first()
