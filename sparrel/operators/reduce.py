@@ -1,10 +1,12 @@
 """Stable log-sum-exp over rows, columns, both at once or all, with gradients on the stored entries.
 
 With ``include_zeros`` each absent cell adds exp(0), so results equal those of the dense matrix; without, a group without
-entries is minus infinity. The shift is the group's greatest value, at least 0 where absent cells count, and 0 where it
-isn't finite, so an infinite entry gives infinity and never NaN.
+entries is minus infinity. Infinite entries give infinity and never NaN; NaN stays NaN.
 
-One pass: a partial aggregate keeps the greatest value, and the exponentials are added up beside the join with it.
+One scan and no join: values fall in buckets of ``STEP``, and a partial aggregate adds up exponentials relative to the
+bucket's middle, which neither overflow nor vanish. Of a group only the greatest bucket and the one below it can matter,
+as all others are smaller by exp(-STEP) at least; one of the two is even and the other odd, so the greatest even and the
+greatest odd bucket are the state of a second aggregate, which also takes in the numbers of cells.
 """
 
 from __future__ import annotations
@@ -12,9 +14,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..frames import Sparse, grid
 
 ROW, COL = "row", "col"
+#: Width of a bucket of values; exp(STEP / 2) times any number of rows is finite.
+STEP = 512.0
+#: Results for each batch, at most, that are broadcast to the entries.
+FEW = 100_000
 
 
 def _inf(sign: str = "") -> Column:
@@ -38,15 +45,42 @@ def _axes(a: Sparse, dim: int | list[int] | tuple[int, ...]) -> set[str]:
     return set(found)
 
 
+def bucket(val: Column) -> Column:
+    """The number of a value's bucket, as a double; infinite for infinite values."""
+    return F.rint(val / STEP)
+
+
+def term(val: Column) -> Column:
+    """A value's exponential relative to its bucket's middle."""
+    return F.when(val == _inf(), val).when(val == _inf("-"), F.lit(0.0)).otherwise(F.exp(val - bucket(val) * STEP))
+
+
+def merged(even: Column, odd: Column) -> Column:
+    """The log-sum-exp from the greatest buckets of either parity, structs (b, s) or null."""
+    top, low = F.greatest(even, odd), F.when(even.isNotNull() & odd.isNotNull(), F.least(even, odd))
+    total = top["s"] + F.coalesce(low["s"] * F.exp((low["b"] - top["b"]) * STEP), F.lit(0.0))
+    return F.when(total.isNull() | (total == 0), _inf("-")).otherwise(top["b"] * STEP + F.log(total))
+
+
+def _parity(odd: bool) -> Column:
+    pair = F.struct("b", "s")
+    return F.max(F.when((F.col("b") % 2 != 0) if odd else (F.col("b") % 2 == 0), pair))
+
+
 def _grouped(entries: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, lse) for each of ``groups`` (keys, cells): cells is how many there are, or null where absent ones don't count."""
-    tops = entries.groupBy(*keys).agg(F.max("val").alias("_top"), F.count("*").alias("_n"))
-    at = groups.join(tops, keys, "left").withColumn("_zeros", F.greatest(F.coalesce(F.col("cells") - F.coalesce("_n", F.lit(0)), F.lit(0)), F.lit(0)))
-    top = F.when(F.col("_zeros") > 0, F.greatest(F.coalesce("_top", F.lit(0.0)), F.lit(0.0))).otherwise(F.col("_top"))
-    at = at.withColumn("_shift", F.when(top.isNull() | (F.abs(top) == _inf()), F.lit(0.0)).otherwise(top)).select(*keys, "_zeros", "_shift")
-    sums = entries.join(at.select(*keys, "_shift"), keys).groupBy(*keys).agg(F.sum(F.exp(F.col("val") - F.col("_shift"))).alias("_sum"))
-    total = F.coalesce("_sum", F.lit(0.0)) + F.when(F.col("_zeros") > 0, F.col("_zeros") * F.exp(-F.col("_shift"))).otherwise(0.0)
-    return at.join(sums, keys, "left").select(*keys, F.when(total == 0, _inf("-")).otherwise(F.col("_shift") + F.log(total)).alias("lse"))
+    val = F.col("val")
+    sums = entries.select(*keys, bucket(val).alias("b"), term(val).alias("t")).groupBy(*keys, "b").agg(F.sum("t").alias("s"), F.count("*").alias("n"))
+    none = F.lit(None)
+    every = sums.select(*keys, "b", "s", "n", none.cast("long").alias("cells"), F.lit(False).alias("known"))
+    every = every.unionByName(groups.select(*keys, none.cast("double").alias("b"), none.cast("double").alias("s"), F.lit(0).cast("long").alias("n"), "cells", F.lit(True).alias("known")))
+    held = every.groupBy(*keys).agg(_parity(False).alias("even"), _parity(True).alias("odd"), F.sum("n").alias("n"), F.max("cells").alias("cells"), F.max("known").alias("known")).where("known")
+    zeros = F.greatest(F.coalesce(F.col("cells") - F.col("n"), F.lit(0)), F.lit(0)).cast("double")
+    held = held.select(*keys, merged(F.col("even"), F.col("odd")).alias("l"), F.when(zeros > 0, F.log(zeros)).otherwise(_inf("-")).alias("z"))
+    own, absent = F.col("l"), F.col("z")
+    top = F.greatest(own, absent)
+    both = top + F.log(F.exp(own - top) + F.exp(absent - top))
+    return held.select(*keys, F.when((absent == _inf("-")) | (own == _inf()) | F.isnan(own), own).when(own == _inf("-"), absent).otherwise(both).alias("lse"))
 
 
 def logsumexp(a: Sparse, dim: int | list[int] | tuple[int, ...], include_zeros: bool = True, keepdim: bool = False) -> DataFrame:
@@ -64,8 +98,9 @@ def logsumexp(a: Sparse, dim: int | list[int] | tuple[int, ...], include_zeros:
 
 
 def bidir_logsumexp(a: Sparse, include_zeros: bool = True, layout: str = "tuple", keepdim: bool = False):
-    """Column and row results in one traversal, columns first. Layouts: ``tuple`` (two frames), ``padded`` and ``nested``.
+    """Column and row results in one scan, columns first. Layouts: ``tuple`` (two frames), ``padded`` and ``nested``.
 
+    The frames of a tuple are read from one table in the shared folder, so the entries are scanned once for both.
     ``padded`` is (axis, batch, idx, lse) with max(rows, cols) indices on each axis, minus infinity where there is none;
     ``nested`` is (axis, batch, lses) with an array for each axis. Axis 0 is columns.
     """
@@ -79,6 +114,7 @@ def bidir_logsumexp(a: Sparse, include_zeros: bool = True, layout: str = "tuple"
     parts = [grid(spark, batch=a.n_batch, idx=n).select("batch", F.lit(axis).alias("axis"), "idx", F.lit(cells if include_zeros else None).cast("long").alias("cells")) for axis, n, cells in sides]
     out = _grouped(both, parts[0].union(parts[1]), ["batch", "axis", "idx"])
     if layout == "tuple":
+        out = scratch.cut(out, "bidir")
         cols, rows = (out.where(F.col("axis") == k).select("batch", F.col("idx").alias(name), "lse") for k, name in ((0, COL), (1, ROW)))
         if keepdim:
             return cols.select("batch", F.lit(0).cast("long").alias(ROW), COL, "lse"), rows.select("batch", ROW, F.lit(0).cast("long").alias(COL), "lse")
@@ -93,7 +129,8 @@ def logsumexp_vjp(a: Sparse, dim: int | list[int] | tuple[int, ...], g: DataFram
     """The gradient on the stored entries: g of the entry's group times exp(value - lse). g is (batch, kept axis, g)."""
     kept = [c for c in (ROW, COL) if c not in _axes(a, dim)]
     lse = logsumexp(a, dim, include_zeros).join(g.select("batch", *kept, "g"), ["batch", *kept])
-    met = a.df.join(lse, ["batch", *kept])
+    # one row for each batch: a small side whose size is known
+    met = a.df.join(F.broadcast(lse) if not kept and a.n_batch <= FEW else lse, ["batch", *kept])
     return a.with_df(met.withColumn("val", F.col("g") * F.exp(F.col("val") - F.col("lse"))))
 
 

@@ -296,11 +296,11 @@ def transpose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _entries(t.discounts(spark, sf_dir).t)
 
 
-_E = "e AS (SELECT user_id AS row, CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS col, sum(value) / 1000 AS val FROM events WHERE value > 100 GROUP BY 1, 2)"
+_E = "e AS (SELECT user_id AS row, CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS col, sum(value) / 1000 AS val FROM events GROUP BY 1, 2)"
 
 
 def _events(spark: SparkSession, sf_dir: str) -> Sparse:
-    held = t.table(spark, sf_dir, "events").where("value > 100")
+    held = t.table(spark, sf_dir, "events")
     kind = F.array_position(F.array(*map(F.lit, ("click", "error", "purchase", "signup", "view"))), F.col("event_type")) - 1
     return Sparse.of(held.select(F.col("user_id").alias("row"), kind.alias("col"), (F.col("value") / 1000).alias("val")), (t.table(spark, sf_dir, "events").agg(F.max("user_id")).first()[0]) + 1, 5).coalesced()
 
@@ -703,7 +703,7 @@ def sql_logsumexp(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql_functions.register(spark)
     name = f"discounts_{uuid.uuid4().hex}"
     sql_functions.view(t.discounts(spark, sf_dir), name)
-    return spark.sql(f"SELECT row, round(logsumexp(val), 4) AS lse FROM {name} GROUP BY row")
+    return _rounded(spark.sql(f"SELECT row, lse_merge(collect_list(struct(b, s))) AS lse FROM (SELECT row, lse_bucket(val) AS b, sum(lse_term(val)) AS s FROM {name} GROUP BY ALL) GROUP BY row"))
 
 
 @query("SELECT i::BIGINT AS row, i::BIGINT AS col, 1.0::DOUBLE AS val FROM range(50) r(i)")
@@ -712,16 +712,18 @@ def sql_eye(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT * FROM sparse_eye(50)")
 
 
-@query("SELECT date_trunc('day', ts) AS day, user_id AS row, round(ln(sum(exp(value - 500))) + 500, 4) AS lse, count(*) AS n FROM events GROUP BY 1, 2")
+@query("SELECT date_trunc('day', ts) AS day, user_id AS row, round(max(value) + ln(sum(exp(value - top))), 4) AS lse, count(*) AS n FROM (SELECT *, max(value) OVER (PARTITION BY date_trunc('day', ts), user_id) AS top FROM events) GROUP BY 1, 2")
 def stream_logsumexp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a stream, taken in until nothing is left; windows of a day."""
+    """The events as a stream, taken in until nothing is left; windows of a day, each as its last update has it."""
     schema = t.table(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
-    out = incremental.windowed_logsumexp(t.stream_of(events), "1 day", "1 hour", bound=500.0)
-    name = f"stream_{uuid.uuid4().hex}"
-    run = out.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", scratch.fresh(spark, "stream")).trigger(availableNow=True).start()
+    out = incremental.windowed_logsumexp(t.stream_of(events), "1 day", "400 days")
+    path = scratch.fresh(spark, "updates")
+    write = lambda batch, number: batch.withColumn("number", F.lit(number)).write.mode("append").parquet(path)
+    run = out.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", scratch.fresh(spark, "stream")).trigger(availableNow=True).start()
     run.awaitTermination()
-    return _rounded(spark.table(name).select(F.col("window.start").alias("day"), "row", "lse", "n"))
+    last = F.max(F.struct("number", "lse", "n")).alias("s")
+    return _rounded(spark.read.parquet(path).groupBy(F.col("start").alias("day"), "row").agg(last).select("day", "row", "s.lse", "s.n"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

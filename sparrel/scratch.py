@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; where nothing does, as in tests, a temporary one, which is then set."""
+    """The folder that ``spark.checkpoint.dir`` names. Only a local master may do without one and gets a temporary folder."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.conf.get("spark.master", "").startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="sparrel-")
         spark.sparkContext.setCheckpointDir(named)
     return named

@@ -185,11 +185,14 @@ def test_sql_functions(spark):
     sql_functions.register(spark)
     a, x = matrix(spark, (3, 4), 7)
     sql_functions.view(a, "some_matrix")
-    rows = spark.sql("SELECT row, logsumexp(val) AS lse FROM some_matrix GROUP BY row").collect()
+    rows = spark.sql("SELECT row, lse_merge(collect_list(struct(b, s))) AS lse FROM (SELECT row, lse_bucket(val) AS b, sum(lse_term(val)) AS s FROM some_matrix GROUP BY ALL) GROUP BY row").collect()
     for r in rows:
         v = x[0, r.row][x[0, r.row] != 0]
         assert abs(r.lse - np.log(np.exp(v).sum())) < 1e-9
-    assert spark.sql("SELECT count(*) FROM sparse_eye(7)").first()[0] == 7
+    assert spark.sql("SELECT count(*) FROM sparse_eye(7)").first()[0] == 7 and spark.sql("SELECT * FROM sparse_eye(0)").count() == 0
+    assert spark.sql("SELECT sum(val), max(row) FROM sparse_eye(200000) WHERE row = col").first() == (200_000, 199_999)
+    held = spark.sql("SELECT k, lse_merge(collect_list(struct(b, s))) AS l FROM (SELECT k, lse_bucket(x) AS b, sum(lse_term(x)) AS s FROM VALUES (1, -900D), (1, 700D), (2, double('Infinity')), (2, 1D), (3, -double('Infinity')) AS t(k, x) GROUP BY ALL) GROUP BY k ORDER BY k").collect()
+    assert [r.l for r in held] == [700, math.inf, -math.inf]
     assert [tuple(r.offset) for r in spark.sql("SELECT * FROM encoder_offsets(1.0D, 3, 1, 'indep') ORDER BY offset_id").collect()] == encode.offsets(1, 3)
 
 
@@ -200,18 +203,30 @@ def test_streams_give_what_batches_give(spark, tmp_path):
     stream = lambda: spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     vector = spark.createDataFrame([(0, 2.0), (1, 3.0)], "col long, x double")
 
-    def taken(out, name):
-        run = out.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+    def taken(out, name, mode="complete"):
+        run = out.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
         run.awaitTermination()
-        return {(r.window.start, r.row): tuple(r)[2:] for r in spark.table(name).collect()}
+        return spark.table(name)
 
     for k, slide in enumerate((None, "5 minutes")):
-        made = lambda d: incremental.windowed_logsumexp(d, "10 minutes", "1 minute", 7.0, slide)  # noqa: E731, B023
-        batch = {(r.window.start, r.row): tuple(r)[2:] for r in made(df).collect()}
-        got = taken(made(stream()), f"lse{k}")
+        got = {(r.start, r.row): (r.lse, r.n) for r in taken(incremental.windowed_logsumexp(stream(), "10 minutes", "1 minute", slide), f"lse{k}", "update").collect()}
+        each = df.select(F.window("ts", "10 minutes", slide or "10 minutes").start.alias("start"), "row", "val").groupBy("start", "row").agg(F.log(F.sum(F.exp("val"))).alias("lse"), F.count("*").alias("n"))
+        batch = {(r.start, r.row): (r.lse, r.n) for r in each.collect()}
         assert got.keys() == batch.keys() and all(np.allclose(got[k], batch[k]) for k in got)
-    got = taken(incremental.windowed_spmv(stream(), vector, "10 minutes", "1 minute"), "spmv")
-    want = {(r.window.start, r.row): (r.val,) for r in incremental.windowed_spmv(df, vector, "10 minutes", "1 minute").collect()}
+    by_window = lambda rows: {(r.window.start, r.row): (r.val,) for r in rows.collect()}
+    got = by_window(taken(incremental.windowed_spmv(stream(), vector, "10 minutes", "1 minute"), "spmv"))
+    want = by_window(incremental.windowed_spmv(df, vector, "10 minutes", "1 minute"))
     assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in got)
-    sessions = incremental.windowed_logsumexp(df, "2 minutes", "1 minute", 7.0, session=True)
-    assert sessions.agg(F.sum("n")).first()[0] == 50
+    sessions = incremental.session_logsumexp(df, "2 minutes", "1 minute")
+    assert sessions.agg(F.sum("n")).first()[0] == 50 and sessions.where("lse IS NULL").count() == 0
+
+
+def test_streamed_values_of_any_size(spark, tmp_path):
+    values = [-400.0, 900.0, 899.0, -1e300, 1200.0]
+    state = (-math.inf, 0.0, 0)
+    for v in values[:1]:
+        state = incremental.added(state, np.array([v]))
+    assert state == (-400.0, 1.0, 1)
+    state = incremental.added(incremental.added(state, np.array(values[1:3])), np.array(values[3:]))
+    assert state[0] == 1200 and state[1] == 1.0 and state[2] == 5
+    assert incremental.added(state, np.array([math.inf]))[0] == math.inf and incremental.added((-math.inf, 0.0, 0), np.array([-math.inf]))[0] == -math.inf

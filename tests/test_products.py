@@ -166,6 +166,25 @@ def test_batched_and_bidirectional(spark):
     assert reduce.logsumexp(a, 2, keepdim=True).columns == ["batch", "row", "col", "lse"]
 
 
+def test_values_far_apart_and_infinite(spark):
+    rows = [(0, 0, 800.0), (0, 1, 799.0), (0, 2, -900.0), (1, 0, 255.0), (1, 1, 257.0), (1, 2, -257.0), (2, 0, float("inf")), (2, 1, 3.0), (3, 0, float("-inf")), (4, 0, float("-inf")), (4, 1, 1e300), (5, 0, -400.0), (6, 0, float("nan"))]
+    a = Sparse.of(spark.createDataFrame(rows, "row long, col long, val double"), 8, 3)
+    stored = {r.row: r.lse for r in reduce.logsumexp(a, 1, include_zeros=False).collect()}
+    assert abs(stored[0] - (800 + np.log1p(np.exp(-1)))) < 1e-9 and abs(stored[1] - (257 + np.log1p(np.exp(-2)))) < 1e-9
+    assert stored[2] == np.inf and stored[3] == -np.inf and stored[4] == 1e300 and stored[5] == -400 and np.isnan(stored[6]) and stored[7] == -np.inf
+    dense = {r.row: r.lse for r in reduce.logsumexp(a, 1).collect()}
+    assert abs(dense[3] - np.log(2)) < 1e-12 and abs(dense[5] - np.log(2)) < 1e-12 and abs(dense[7] - np.log(3)) < 1e-12 and dense[2] == np.inf
+
+
+def test_reductions_scan_once_and_join_nothing(spark, capsys, tmp_path):
+    spark.range(100).selectExpr("id % 7 AS row", "id AS col", "id / 10 AS val").write.parquet(str(tmp_path / "a"))
+    a = Sparse.of(spark.read.parquet(str(tmp_path / "a")), 7, 100)
+    for dim in (0, 1, [0, 1]):
+        reduce.logsumexp(a, dim).explain()
+        plan = capsys.readouterr().out
+        assert plan.count("FileScan") == 1 and "Join" not in plan and "Cartesian" not in plan
+
+
 def test_dimensions_are_checked(spark):
     a, _ = matrix(spark, (3, 3), 4, batches=2)
     for dim, error in (([], RuntimeError), ([1, 1], RuntimeError), (3, IndexError), (0, NotImplementedError), ([1, -2], RuntimeError)):
