@@ -28,12 +28,12 @@ def from_csr(csr: DataFrame, n_rows: int, n_cols: int, n_batch: int = 1) -> Spar
 
 def order(a: Sparse) -> DataFrame:
     """(batch, row, col, place) in lexicographic order: the permutation that compressing applies, by batch."""
-    rows = _before(a.df.groupBy("batch", "row").agg(F.count("*").alias("n")), ["batch"], "row")
+    rows = before(a.df.groupBy("batch", "row").agg(F.count("*").alias("n")), ["batch"], "row")
     within = F.row_number().over(Window.partitionBy("batch", "row").orderBy("col")) - 1
     return a.df.withColumn("_w", within).join(rows, ["batch", "row"]).select(*KEYS, (F.col("before") + F.col("_w")).alias("place"))
 
 
-def _before(counts: DataFrame, keys: list[str], by: str, block: int = 1 << 16) -> DataFrame:
+def before(counts: DataFrame, keys: list[str], by: str, block: int = 1 << 16) -> DataFrame:
     """Adds ``before``, the sum of n over smaller ``by``: sums within blocks, then over blocks, so no task takes all."""
     held = counts.withColumn("_block", F.floor(F.col(by) / block).cast("long"))
     totals = held.groupBy(*keys, "_block").agg(F.sum("n").alias("_t"))
@@ -52,14 +52,16 @@ def compress(rows: DataFrame, n_rows: int, n_batch: int = 1) -> DataFrame:
     rows = rows if "batch" in rows.columns else rows.withColumn("batch", F.lit(0).cast("long"))
     counts = rows.groupBy("batch", F.col("row").alias("i")).agg(F.count("*").alias("n"))
     full = grid(spark, batch=n_batch, i=n_rows + 1).join(counts, ["batch", "i"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return _before(full, ["batch"], "i").select("batch", "i", F.col("before").alias("crow"))
+    return before(full, ["batch"], "i").select("batch", "i", F.col("before").alias("crow"))
 
 
 def decompress(pointers: DataFrame) -> DataFrame:
     """(batch, row) for each entry, from pointers (batch, i, crow): the inverse of ``compress``."""
     following = pointers.select("batch", (F.col("i") - 1).alias("i"), F.col("crow").alias("stop"))
     met = pointers.join(following, ["batch", "i"]).where("stop > crow")
-    return met.select("batch", F.col("i").alias("row"), F.explode(F.sequence("crow", F.col("stop") - 1)).alias("_p")).select("batch", "row")
+    # two steps, so that a row with very many entries isn't one array
+    pieces = met.select("batch", "i", "stop", F.explode(F.sequence("crow", F.col("stop") - 1, F.lit(4096).cast("long"))).alias("_c"))
+    return pieces.select("batch", F.col("i").alias("row"), F.explode(F.sequence("_c", F.least(F.col("stop") - 1, F.col("_c") + 4095))).alias("_p")).select("batch", "row")
 
 
 def stack(*matrices: Sparse) -> Sparse:

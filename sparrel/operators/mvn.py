@@ -12,14 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..frames import Dense, Sparse, grid
-from .product import sddmm, spmm
+from .product import dot, sddmm, spmm
 from .solve import triangular_solve, triangular_solve_vjp
 
 
 def noise(spark: SparkSession, n: int, samples: int, n_batch: int = 1, seed: int = 0) -> Dense:
-    """Standard normal numbers, each from a hash of its own place, so they don't depend on partitions (Box and Muller)."""
+    """Standard normal numbers, each from a hash of its own place, so they don't depend on partitions (Box and Muller).
+
+    The hash is MD5 of ``batch:row:sample:1 or 2:seed``; its first 13 hexadecimal digits are 52 bits of a uniform number.
+    """
     cells = grid(spark, batch=n_batch, row=n)
-    unit = lambda k, salt: (F.pmod(F.xxhash64("batch", "row", k, F.lit(salt), F.lit(seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    unit = lambda k, salt: (F.conv(F.substring(F.md5(F.concat_ws(":", F.col("batch").cast("string"), F.col("row").cast("string"), k.cast("string"), F.lit(str(salt)), F.lit(str(seed)))), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     vec = F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda k: F.sqrt(-2 * F.log(unit(k, 1))) * F.cos(2 * math.pi * unit(k, 2)))
     return Dense(cells.select("batch", "row", vec.alias("vec")), n, samples, n_batch)
 
@@ -84,6 +87,23 @@ class SparseMVN:
             return of_loc, sddmm(self.scale_tril, g, _scaled(eps, self.diagonal, "d", inverse=False) if self.is_ldlt else eps)
         return of_loc, triangular_solve_vjp(self.precision_tril, self._spread(eps), g, upper=False, unitriangular=self.is_ldlt, transpose=True)[0]
 
+    def diagonal_vjp(self, eps: Dense, g: Dense) -> DataFrame:
+        """(batch, row, g): the gradient in the diagonal, for a factor with one.
+
+        A draw depends on it by sqrt(d)·eps before the covariance's factor, and by eps/sqrt(d) before the precision's solve.
+        """
+        if not self.is_ldlt:
+            raise ValueError("this distribution has no diagonal")
+        if self.scale_tril is not None:
+            through = spmm(self.scale_tril.t, g).df.withColumnRenamed("vec", "_t")
+            moved = g.filled().df.join(through, ["batch", "row"]).select("batch", "row", F.zip_with("vec", "_t", lambda x, y: x + y).alias("_m"))
+            rate = 0.5 / F.sqrt("d")
+        else:
+            moved = triangular_solve(self.precision_tril, g, upper=False, unitriangular=True).df.withColumnRenamed("vec", "_m")
+            rate = -0.5 / F.pow("d", F.lit(1.5))
+        met = moved.join(eps.df.withColumnRenamed("vec", "_e"), ["batch", "row"]).join(self.diagonal, ["batch", "row"])
+        return met.select("batch", "row", (rate * dot(F.col("_m"), F.col("_e"))).alias("g"))
+
     def _plain(self) -> Sparse:
         if self.scale_tril is None or self.is_ldlt:
             raise NotImplementedError("for a covariance factor without a diagonal only")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..frames import Dense, Sparse, same_batches
+from .layout import before
 
 WIDE = 128
 
@@ -85,25 +86,31 @@ def _times(vec: Column, m: Column) -> Column:
     return F.transform(m, lambda c: dot(vec, c))
 
 
-def segments(lengths: DataFrame) -> DataFrame:
-    """(s, start, stop) of consecutive segments from (s, n): running sums; segments may be empty.
+#: Rows of a stretch by which rows and segments meet.
+STRETCH = 256
 
-    The table of segments is as small as the bank, so its running sum may take one task.
-    """
-    from pyspark.sql import Window
 
-    run = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return lengths.select("s", F.col("n"), F.sum("n").over(run).alias("stop")).select("s", (F.col("stop") - F.col("n")).alias("start"), "stop")
+def segments(lengths: DataFrame) -> DataFrame:
+    """(s, start, stop) of consecutive segments from (s, n): running sums by blocks; segments may be empty."""
+    return before(lengths.select("s", "n"), [], "s").select("s", F.col("before").alias("start"), (F.col("before") + F.col("n")).alias("stop"))
 
 
 def segment_mm(rows: DataFrame, lengths: DataFrame, bank: DataFrame, width: int, d_in: int) -> DataFrame:
-    """(i, vec): consecutive segments of rows (i, vec) by the bank's matrices in order. The lengths must add up to the rows."""
+    """(i, vec): consecutive segments of rows (i, vec) by the bank's matrices in order. The lengths must add up to the rows.
+
+    A segment meets its rows by stretches of ``STRETCH`` numbers, so a long one is many rows and a short one is one.
+    """
     n, total = rows.count(), lengths.agg(F.sum("n")).first()[0] or 0
     if n != total:
         raise ValueError(f"the segments hold {total} rows, but there are {n}")
-    # each segment names its own rows, so that the join has a key
-    named = segments(lengths).where("stop > start").select(F.col("s").alias("idx"), F.explode(F.sequence("start", F.col("stop") - 1)).alias("i"))
-    return gather_mm(rows.select("i", "vec").join(named, "i").select("i", "idx", "vec"), bank, width, d_in)
+    held = segments(lengths).where("stop > start")
+    first, last = (F.floor(F.col(c) / STRETCH).cast("long") for c in ("start", "last"))
+    wide = held.withColumn("last", F.col("stop") - 1).select(F.col("s").alias("idx"), "start", "stop", first.alias("_a"), last.alias("_b"))
+    # two steps, so that no array grows with a segment by more than its square root's order
+    wide = wide.select("idx", "start", "stop", "_b", F.explode(F.sequence("_a", "_b", F.lit(4096).cast("long"))).alias("_c"))
+    wide = wide.select("idx", "start", "stop", F.explode(F.sequence("_c", F.least("_b", F.col("_c") + 4095))).alias("_stretch"))
+    named = rows.select("i", "vec", F.floor(F.col("i") / STRETCH).cast("long").alias("_stretch")).join(wide, "_stretch").where("i >= start AND i < stop")
+    return gather_mm(named.select("i", "idx", "vec"), bank, width, d_in)
 
 
 def gather_mm_vjp(rows: DataFrame, bank: DataFrame, g: DataFrame, width: int, d_in: int) -> tuple[DataFrame, DataFrame]:

@@ -9,22 +9,37 @@ from pyspark.sql import functions as F
 
 from ..frames import Dense
 from ..functions.special import chi2_quantile, f_quantile
+from .product import summed
 
 _RESULT = "batch long, accepted boolean, statistic double, threshold double"
 
 
 def moments(samples: Dense) -> DataFrame:
-    """(batch, mean, cov) of samples (batch, row = sample, vec): one pass of sums about the mean, cov as an array of rows.
+    """(batch, n, mean, cov) of samples (batch, row = sample, vec): sums about the mean, cov as an array of rows.
 
-    Products of places are aggregates of Spark's own, so no sample leaves its task.
+    Means come first. Then each task adds up the products of its samples' distances to them, a row for each coordinate, and
+    Spark adds up those: p rows of p numbers from each task, however many samples there are.
     """
     p = samples.width
-    wide = samples.columns("x")
-    means = [F.avg(f"x{i}").alias(f"m{i}") for i in range(p)]
-    covs = [F.covar_samp(f"x{i}", f"x{j}").alias(f"s{i}_{j}") for i in range(p) for j in range(i, p)]
-    out = wide.groupBy("batch").agg(*means, *covs, F.count("*").alias("n"))
-    cell = lambda i, j: F.col(f"s{min(i, j)}_{max(i, j)}")
-    return out.select("batch", "n", F.array(*(F.col(f"m{i}") for i in range(p))).alias("mean"), F.array(*(F.array(*(cell(i, j) for j in range(p))) for i in range(p))).alias("cov"))
+    means = samples.df.groupBy("batch").agg(*(F.avg(F.get("vec", F.lit(i))).alias(f"m{i}") for i in range(p)), F.count("*").alias("n"))
+    means = means.select("batch", "n", F.array(*(F.col(f"m{i}") for i in range(p))).alias("mean"))
+
+    def products(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            keys = batch.column("batch").to_numpy()
+            gaps = batch.column("gap").flatten().to_numpy(zero_copy_only=False).reshape(-1, p)
+            for k in np.unique(keys):
+                own = gaps[keys == k]
+                held[int(k)] = held.get(int(k), 0.0) + own.T @ own
+        for k, m in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k] * p, pa.int64()), pa.array(np.arange(p)), pa.array(m.tolist(), pa.list_(pa.float64()))], names=["batch", "i", "part"])
+
+    gaps = samples.df.join(means.select("batch", "mean"), "batch").select("batch", F.zip_with("vec", "mean", lambda x, m: x - m).alias("gap"))
+    sums = summed(gaps.mapInArrow(products, "batch long, i long, part array<double>"), ["batch", "i"], F.col("part"), p)
+    rows = sums.groupBy("batch").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "vec"))), lambda r: r["vec"]).alias("cov"))
+    scaled = F.transform("cov", lambda r: F.transform(r, lambda x: F.when(F.col("n") > 1, x / (F.col("n") - 1))))
+    return means.join(rows, "batch").select("batch", "n", "mean", scaled.alias("cov"))
 
 
 def _each(df: DataFrame, test) -> DataFrame:
@@ -40,9 +55,12 @@ def _each(df: DataFrame, test) -> DataFrame:
     return df.mapInArrow(run, _RESULT)
 
 
-def hotelling_t2(df: DataFrame, n: int, confidence: float = 0.95) -> DataFrame:
-    """(batch, accepted, statistic, threshold) from (batch, mean, true_mean, cov): n·dᵀS⁻¹d against p(n-1)/(n-p)·F."""
-    p = len(df.select("mean").first()[0])
+def hotelling_t2(df: DataFrame, n: int, confidence: float = 0.95, p: int | None = None) -> DataFrame:
+    """(batch, accepted, statistic, threshold) from (batch, mean, true_mean, cov): n·dᵀS⁻¹d against p(n-1)/(n-p)·F.
+
+    Without ``p``, the dimension is read from the first row, which runs the input's plan once more.
+    """
+    p = p or len(df.select("mean").first()[0])
     if n <= p:
         raise ValueError("more samples than dimensions are needed")
     threshold = p * (n - 1) / (n - p) * f_quantile(confidence, p, n - p)
@@ -54,9 +72,9 @@ def hotelling_t2(df: DataFrame, n: int, confidence: float = 0.95) -> DataFrame:
     return _each(df.select("batch", "mean", "true_mean", "cov"), test)
 
 
-def nagao(df: DataFrame, n: int, confidence: float = 0.95) -> DataFrame:
-    """(batch, accepted, statistic, threshold) from (batch, cov, true_cov): n/2·|L⁻¹SL⁻ᵀ - I|² against chi-squared."""
-    p = len(df.select("cov").first()[0])
+def nagao(df: DataFrame, n: int, confidence: float = 0.95, p: int | None = None) -> DataFrame:
+    """(batch, accepted, statistic, threshold) from (batch, cov, true_cov): n/2·|L⁻¹SL⁻ᵀ - I|² against chi-squared; p as above."""
+    p = p or len(df.select("cov").first()[0])
     threshold = chi2_quantile(confidence, p * (p + 1) / 2)
 
     def test(r: dict) -> tuple[float, float]:

@@ -6,13 +6,15 @@ Sums of floating-point numbers depend on the order of adding, so results are rou
 from __future__ import annotations
 
 import uuid
+import warnings
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import scratch
-from ..frames import Dense, Sparse, index
+from .. import api, scratch
+from ..frames import Dense, Sparse, grid, index
 from ..functions import sql as sql_functions
 from ..operators import encode, krylov, layout, product, reduce, solve, stats
 from ..operators.mvn import SparseMVN, noise
@@ -128,10 +130,10 @@ def gather_mm_grad_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(product.gather_mm_vjp(_vectors(spark, sf_dir), _bank(spark), g, 3, 64)[1])
 
 
-@query("SELECT vec_id AS i, " + ", ".join(f"round(sum((vec_id % 5 + k) * ((label * 31 + {j} * 7 + k * 3) % 17) / 17.0), 7) AS c{j}" for j in range(4)) + " FROM embeddings, range(3) s(k) GROUP BY 1")
+@query("SELECT vec_id AS i, " + ", ".join(f"round(sum((vec_id % 5 + k) * ((label * 31 + {j} * 7 + k * 3) % 17) / 17.0), 7) AS c{j}" for j in range(64)) + " FROM embeddings, range(3) s(k) GROUP BY 1")
 def gather_mm_grad_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = _vectors(spark, sf_dir).select("i", F.array(*((F.col("i") % 5 + k).cast("double") for k in range(3))).alias("vec"))
-    return _places(product.gather_mm_vjp(_vectors(spark, sf_dir), _bank(spark), g, 3, 64)[0], "i", 4)
+    return _places(product.gather_mm_vjp(_vectors(spark, sf_dir), _bank(spark), g, 3, 64)[0], "i", 64)
 
 
 _LENGTHS = "n AS (SELECT label AS s, count(*) AS n FROM embeddings GROUP BY 1), e AS (SELECT s, sum(n) OVER (ORDER BY s) - n AS start, sum(n) OVER (ORDER BY s) AS stop FROM n)"
@@ -320,10 +322,11 @@ def lower_triangle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _entries(layout.triangle(t.discounts(spark, sf_dir), upper=False))
 
 
-@query(f"WITH {_F} SELECT o_orderkey AS i, {_Z}, round(f0, 4) AS c0, round(f1, 4) AS c1 FROM orders JOIN f ON id = o_orderkey % 100")
+@query(f"WITH {_F} SELECT o_orderkey AS i, {_Z}, round(f0, 4) AS c0, round(f1, 4) AS c1 FROM orders JOIN f ON id = o_orderkey % {_NP}")
 def select_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = t.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("i"), (F.col("o_orderkey") % 100).alias("row"))
-    return _rounded(layout.select_rows(t.part_features(spark, sf_dir), wanted).select("i", "batch", *(F.get("vec", F.lit(k)).alias(f"c{k}") for k in range(2))))
+    parts = t.part_features(spark, sf_dir)
+    wanted = t.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("i"), (F.col("o_orderkey") % parts.n_rows).alias("row"))
+    return _rounded(layout.select_rows(parts, wanted).select("i", "batch", *(F.get("vec", F.lit(k)).alias(f"c{k}") for k in range(2))))
 
 
 # Solvers: a right-hand side is made from a known solution, which SQL gives
@@ -364,14 +367,33 @@ def triangular_batched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _triangular(spark, sf_dir, n_batch=3)
 
 
-@query("SELECT 0::BIGINT AS batch, i::BIGINT AS row, (i % 7 - 3)::DOUBLE AS c0 FROM range(12) r(i)")
+def _unit(spark: SparkSession, sf_dir: str) -> Sparse:
+    """Strictly lower, over all customers; entries are small, so that substitution doesn't let errors grow."""
+    a = t.lower(spark, sf_dir, unit=True)
+    return a.with_df(a.df.withColumn("val", F.col("val") / 4))
+
+
+def _whole(a: Sparse) -> Sparse:
+    return a.with_df(a.df.unionByName(layout.eye(a.spark, a.n_rows).df))
+
+
+@query(_known())
 def triangular_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = F.col("row")
-    cells = F.array(F.struct((i - 1).alias("col"), F.lit(0.5).alias("val")), F.struct((i - 4).alias("col"), F.lit(-0.25).alias("val")))
-    a = Sparse.of(index(spark, 12, "row").select("row", F.inline(cells)).where("col >= 0"), 12, 12)
-    x = Dense.of(index(spark, 12, "row").withColumn("vec", F.array((i % 7 - 3).cast("double"))), 12, 1)
-    full = a.with_df(a.df.unionByName(layout.eye(spark, 12).df))
-    return _out(solve.triangular_solve(a, product.spmm(full, x), upper=False, unitriangular=True))
+    a = _unit(spark, sf_dir)
+    return _out(solve.triangular_solve(a, product.spmm(_whole(a), t.solution(spark, sf_dir)), upper=False, unitriangular=True))
+
+
+@query(_known())
+def triangular_unit_transposed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _unit(spark, sf_dir)
+    return _out(solve.triangular_solve(a, product.spmm(_whole(a).t, t.solution(spark, sf_dir)), upper=False, unitriangular=True, transpose=True))
+
+
+@query(_known())
+def triangular_by_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As deep as the table is long, in the tier that has no limit of size or depth."""
+    a = t.lower(spark, sf_dir)
+    return _out(solve.triangular_solve(a, product.spmm(a, t.solution(spark, sf_dir)), upper=False, tier="blocks"))
 
 
 @query("SELECT 0::BIGINT AS batch, c_custkey AS row, ((7 * c_custkey) % 11 - 5)::DOUBLE AS c0 FROM customer")
@@ -394,6 +416,22 @@ def triangular_grad_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _entries(solve.triangular_solve_vjp(a, x, product.spmm(a.t, y), upper=False)[0])
 
 
+@query(_known(salt=4))
+def triangular_grad_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, x, y = t.lower(spark, sf_dir), t.solution(spark, sf_dir), t.solution(spark, sf_dir, salt=4)
+    return _out(solve.triangular_solve_vjp(a, x, product.spmm(a.t, y), upper=False)[1])
+
+
+_PLACES_UNIT = "SELECT i AS row, i - 1 AS col FROM i WHERE i > 0 UNION ALL SELECT i, i - 7 FROM i WHERE i > 6"
+
+
+@query(f"WITH i AS (SELECT c_custkey AS i FROM customer), a AS ({_PLACES_UNIT}) SELECT {_Z}, row, col, (-((7 * col + 4) % 11 - 5) * ((7 * row) % 11 - 5) - ((7 * col + 7) % 11 - 5) * ((7 * row + 3) % 11 - 5))::DOUBLE AS val FROM a")
+def triangular_grad_a_unit_transposed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For (I + A)ᵀ X = B the upstream gradient is (I + A) y, so that of B is y."""
+    a, x, y = _unit(spark, sf_dir), t.solution(spark, sf_dir), t.solution(spark, sf_dir, salt=4)
+    return _entries(solve.triangular_solve_vjp(a, x, product.spmm(_whole(a), y), upper=False, unitriangular=True, transpose=True)[0])
+
+
 def _generic(spark: SparkSession, sf_dir: str, solver, down: float = -1.0, up: float = -1.0, **options) -> DataFrame:
     a = t.tridiagonal(spark, sf_dir, down, up)
     return _out(solve.generic_solve(a, product.spmm(a, t.solution(spark, sf_dir)), solver, **options))
@@ -436,14 +474,52 @@ def solve_gmres(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _generic(spark, sf_dir, "gmres", -0.5, 1.0)
 
 
-@query("SELECT 0::BIGINT AS batch, s_suppkey AS row, ((7 * s_suppkey) % 11 - 5)::DOUBLE AS c0 FROM supplier")
+@query(_known())
 def solve_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A dense factorisation, for small systems."""
-    n, i = t.table(spark, sf_dir, "supplier").count(), F.col("row")
-    cells = F.array(F.struct(i.alias("col"), F.lit(3.0).alias("val")), F.struct(((i * 5 + 1) % n).alias("col"), F.lit(1.0).alias("val")))
-    a = Sparse.of(index(spark, n, "row").select("row", F.inline(cells)), n, n)
-    x = Dense.of(index(spark, n, "row").withColumn("vec", F.array(((7 * i) % 11 - 5).cast("double"))), n, 1)
-    return _out(solve.generic_solve(a, product.spmm(a, x), "direct"))
+    """A sparse factorisation."""
+    return _generic(spark, sf_dir, "direct", -0.5, 1.0)
+
+
+@query(f"WITH x AS ({_known(salt=0)}), y AS ({_known(salt=4)}) SELECT 0 AS side, * FROM x UNION ALL SELECT 1, * FROM y")
+def solve_direct_grad_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The solution and the gradient in B from one factorisation."""
+    a, x, y = t.tridiagonal(spark, sf_dir, -0.5, 1.0), t.solution(spark, sf_dir), t.solution(spark, sf_dir, salt=4)
+    found, _, db = solve.direct_solve_vjp(a, product.spmm(a, x), product.spmm(a.t, y))
+    parts = [_out(d).select(F.lit(k).alias("side"), "*") for k, d in enumerate((found, db))]
+    return parts[0].unionByName(parts[1])
+
+
+@query(_known())
+def solve_minres_preconditioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By a diagonal that isn't the matrix's own."""
+
+    def solver(times, b):
+        return krylov.minres(times, b, precondition=lambda r: r / (1.0 + np.arange(len(r)) % 3)[:, None])
+
+    return _generic(spark, sf_dir, solver)
+
+
+@query(_known())
+def solve_from_a_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a start and the tolerances of other libraries' names."""
+
+    def solver(times, b):
+        return krylov.bicgstab(times, b, start=np.ones_like(b), **solve.solver_options("bicgstab", {"tol": 1e-12, "maxiter": 500}))
+
+    return _generic(spark, sf_dir, solver, -0.5, 1.0)
+
+
+@query(_known())
+def solve_bicgstab_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = t.tridiagonal(spark, sf_dir, -0.5, 1.0)
+    return _out(solve.generic_solve(a, product.spmm(a, t.solution(spark, sf_dir)), "bicgstab", tier="distributed", tol=1e-8))
+
+
+@query(_known(salt=4))
+def solve_grad_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transposed system has a solver of its own."""
+    a, x, y = t.tridiagonal(spark, sf_dir, -0.5, 1.0), t.solution(spark, sf_dir), t.solution(spark, sf_dir, salt=4)
+    return _out(solve.generic_solve_vjp(a, x, product.spmm(a.t, y), "bicgstab", transpose_solver="gmres")[1])
 
 
 @query(_known())
@@ -497,6 +573,32 @@ def least_squares_grad_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _entries(solve.lstsq_vjp(a, product.spmm(a, x), x, g)[0])
 
 
+_REST = "x AS (SELECT c_custkey AS i, ((7 * c_custkey) % 11 - 5)::DOUBLE AS x, ((7 * c_custkey + 4) % 11 - 5)::DOUBLE AS y FROM customer)"
+
+
+def _stacked(spark: SparkSession, sf_dir: str) -> tuple[Sparse, Dense, Dense, Dense]:
+    """A = [I; I], a side [x + 1; x - 1] whose solution x leaves a rest of [1; -1], and an upstream gradient y."""
+    held, n = t.customers(spark, sf_dir)
+    rows = held.select("row", F.col("row").alias("col"), F.lit(1.0).alias("val"))
+    a = Sparse.of(rows.unionByName(rows.withColumn("row", F.col("row") + n)), 2 * n, n)
+    x, y = t.solution(spark, sf_dir, 1), t.solution(spark, sf_dir, 1, salt=4)
+    moved = [x.df.withColumns({"row": F.col("row") + k * n, "vec": F.transform("vec", lambda v, d=d: v + d)}) for k, d in ((0, 1.0), (1, -1.0))]
+    return a, Dense.of(moved[0].unionByName(moved[1]), 2 * n, 1), x, y
+
+
+@query(f"WITH {_REST} SELECT {_Z}, i + k * (SELECT count(*) FROM x) AS row, i AS col, round(-x * y / 2 + (1 - 2 * k) * y / 2, 4) AS val FROM x, range(2) r(k)")
+def least_squares_grad_a_with_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """dB = y / 2 on both halves, (AᵀA)⁻¹y = y / 2, and the rest is 1 above and -1 below."""
+    a, b, x, y = _stacked(spark, sf_dir)
+    return _entries(solve.lstsq_vjp(a, b, x, y)[0])
+
+
+@query(f"WITH {_REST} SELECT {_Z}, i + k * (SELECT count(*) FROM x) AS row, round(y / 2, 4) AS c0 FROM x, range(2) r(k)")
+def least_squares_grad_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b, x, y = _stacked(spark, sf_dir)
+    return _out(solve.lstsq_vjp(a, b, x, y, solver=lambda m, side: solve.lstsq(m, side))[1])
+
+
 # Encoding
 
 _SHAPE = (3, 4, 5, 6)
@@ -588,16 +690,42 @@ def mvn_precision_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(SparseMVN(_loc(spark, sf_dir), precision_tril=a).rsample(product.spmm(a.t, x)))
 
 
-@query("SELECT 0::BIGINT AS batch, i::BIGINT AS row, (i % 10 + i % 7 - 3)::DOUBLE AS c0 FROM range(12) r(i)")
+@query(f"SELECT {_Z}, c_custkey AS row, {_SHIFTED} FROM customer")
 def mvn_precision_ldlt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i, zero = F.col("row"), F.lit(0).cast("long").alias("batch")
-    rows = index(spark, 12, "row")
-    a = Sparse.of(rows.select("row", F.inline(F.array(F.struct((i - 1).alias("col"), F.lit(0.5).alias("val"))))).where("col >= 0"), 12, 12)
-    x = Dense.of(rows.withColumn("vec", F.array((i % 7 - 3).cast("double"))), 12, 1)
-    eta = product.spmm(a.with_df(a.df.unionByName(layout.eye(spark, 12).df)).t, x)
-    eps = eta.with_df(eta.df.withColumn("vec", F.transform("vec", lambda v: v * (i % 3 + 1))))
-    diagonal = rows.select(zero, "row", F.pow((i % 3 + 1).cast("double"), F.lit(2)).alias("d"))
-    return _out(SparseMVN(rows.select(zero, "row", (i % 10).cast("double").alias("loc")), precision_tril=a, diagonal=diagonal).rsample(eps))
+    """The noise is sqrt(d) times (I + L)ᵀx for a known x."""
+    a = _unit(spark, sf_dir)
+    eta = product.spmm(_whole(a).t, t.solution(spark, sf_dir))
+    eps = eta.with_df(eta.df.withColumn("vec", F.transform("vec", lambda v: v * (F.col("row") % 3 + 1))))
+    return _out(SparseMVN(_loc(spark, sf_dir), precision_tril=a, diagonal=_diagonal(spark, sf_dir)).rsample(eps))
+
+
+_D_GRAD = " + ".join(f"({_eps(k)} * {_eps(k, 'c_custkey + 1')})" for k in range(2))
+
+
+@query(f"SELECT {_Z}, c_custkey AS row, round(-0.5 / power(c_custkey % 3 + 1, 3) * ({_D_GRAD}), 6) AS g FROM customer")
+def mvn_precision_grad_diagonal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The upstream gradient is (I + L) y, so that of the scaled noise is y."""
+    a = _unit(spark, sf_dir)
+    held = SparseMVN(_loc(spark, sf_dir), precision_tril=a, diagonal=_diagonal(spark, sf_dir))
+    return _rounded(held.diagonal_vjp(t.solution(spark, sf_dir), product.spmm(_whole(a), t.solution(spark, sf_dir, salt=7))), 6)
+
+
+def _through(k: int) -> str:
+    up = "CASE WHEN c_custkey + 1 < n THEN (0.5 + (c_custkey + 1) % 3 / 4.0) * " + _eps(k, "c_custkey + 2") + " ELSE 0 END"
+    far = "CASE WHEN c_custkey + 7 < n THEN -0.25 * " + _eps(k, "c_custkey + 8") + " ELSE 0 END"
+    return f"{_eps(k)} * ({_eps(k, 'c_custkey + 1')} + {up} + {far})"
+
+
+@query(f"SELECT {_Z}, c_custkey AS row, round(0.5 / (c_custkey % 3 + 1) * ({_through(0)} + {_through(1)}), 6) AS g FROM customer, (SELECT count(*) AS n FROM customer)")
+def mvn_covariance_grad_diagonal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = SparseMVN(_loc(spark, sf_dir), scale_tril=t.lower(spark, sf_dir, unit=True), diagonal=_diagonal(spark, sf_dir))
+    return _rounded(held.diagonal_vjp(t.solution(spark, sf_dir), t.solution(spark, sf_dir, salt=7)), 6)
+
+
+@query(f"SELECT {_Z}, c_custkey AS row, (c_custkey % 10)::DOUBLE AS loc, true AS plain FROM customer")
+def mvn_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = api.SparseMultivariateNormalNative(_loc(spark, sf_dir), t.lower(spark, sf_dir))
+    return held.mean.select("batch", "row", "loc", F.lit(not held.is_ldlt and held.factor.n_rows == held.scale_tril.n_rows).alias("plain"))
 
 
 _L = "i AS (SELECT c_custkey AS i FROM customer), l AS (SELECT i AS row, i AS col, 2.0 + i % 5 AS val FROM i UNION ALL SELECT i, i - 1, 0.5 + i % 3 / 4.0 FROM i WHERE i > 0 UNION ALL SELECT i, i - 7, -0.25 FROM i WHERE i > 6)"
@@ -628,41 +756,64 @@ def mvn_grad_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _entries(held.rsample_vjp(t.solution(spark, sf_dir), t.solution(spark, sf_dir, salt=7))[1])
 
 
-@query()
+def _uniform(k: int, salt: int) -> str:
+    return f"((('0x' || substr(md5('0:' || c_custkey || ':{k}:{salt}:3'), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)"
+
+
+@query(f"SELECT {_Z}, c_custkey AS row, " + ", ".join(f"round(sqrt(-2 * ln({_uniform(k, 1)})) * cos(2 * pi() * {_uniform(k, 2)}), 4) AS c{k}" for k in range(4)) + " FROM customer")
 def mvn_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seeded noise: moments are near 0 and 1 (tests)."""
     return _out(noise(spark, t.table(spark, sf_dir, "customer").count(), 4, seed=3))
 
 
-# Statistical checks, on four coordinates of the embeddings
+# Statistical checks, on all coordinates of the embeddings
+
+_WIDE = 64
+
 
 def _samples(spark: SparkSession, sf_dir: str) -> Dense:
-    held = t.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row"), F.slice("embedding", 1, 2).cast("array<double>").alias("vec"))
-    return Dense.of(held, held.count(), 2)
+    held = t.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row"), F.col("embedding").cast("array<double>").alias("vec"))
+    return Dense.of(held, held.count(), _WIDE)
 
 
-_MOM = "m AS (SELECT count(*) AS n, avg(embedding[1]::DOUBLE) AS m0, avg(embedding[2]::DOUBLE) AS m1, var_samp(embedding[1]::DOUBLE) AS s00, covar_samp(embedding[1]::DOUBLE, embedding[2]::DOUBLE) AS s01, var_samp(embedding[2]::DOUBLE) AS s11 FROM embeddings)"
+_COV = "v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings), c AS (SELECT a.i, b.i AS j, count(*) AS n, avg(a.x) AS mean, covar_samp(a.x, b.x) AS cov FROM v a JOIN v b USING (vec_id) GROUP BY 1, 2)"
 
 
-@query(f"WITH {_MOM} SELECT {_Z}, n, round(m0, 6) AS m0, round(m1, 6) AS m1, round(s00, 6) AS s00, round(s01, 6) AS s01, round(s11, 6) AS s11 FROM m")
+@query(f"WITH {_COV} SELECT {_Z}, n, i::INTEGER AS i, j::INTEGER AS j, round(mean, 6) AS mean, round(cov, 6) AS cov FROM c")
 def sample_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = stats.moments(_samples(spark, sf_dir))
-    cell = lambda i, j: F.get(F.get("cov", F.lit(i)), F.lit(j))
-    return _rounded(held.select("batch", "n", F.get("mean", F.lit(0)).alias("m0"), F.get("mean", F.lit(1)).alias("m1"), cell(0, 0).alias("s00"), cell(0, 1).alias("s01"), cell(1, 1).alias("s11")), 6)
+    held = stats.moments(_samples(spark, sf_dir)).select("batch", "n", "mean", F.posexplode("cov").alias("i", "r"))
+    return _rounded(held.select("batch", "n", "i", F.posexplode("r").alias("j", "cov"), "mean").select("batch", "n", "i", "j", F.get("mean", F.col("i")).alias("mean"), "cov"), 6)
 
 
-@query(f"WITH {_MOM} SELECT {_Z}, round(n * (s11 * m0 * m0 - 2 * s01 * m0 * m1 + s00 * m1 * m1) / (s00 * s11 - s01 * s01), 4) AS statistic FROM m")
+@query()
 def hotelling_t2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An inverse of 64 x 64 numbers, which SQL has no function for; the tests compare it with numpy."""
     held = _samples(spark, sf_dir)
-    df = stats.moments(held).withColumn("true_mean", F.array(F.lit(0.0), F.lit(0.0)))
-    return _rounded(stats.hotelling_t2(df, held.n_rows).select("batch", "statistic"))
+    df = stats.moments(held).withColumn("true_mean", F.array_repeat(F.lit(0.0), _WIDE))
+    return _rounded(stats.hotelling_t2(df, held.n_rows, p=_WIDE))
+
 
+_PAIR = "m AS (SELECT count(*) AS n, avg(embedding[1]::DOUBLE) AS m0, avg(embedding[2]::DOUBLE) AS m1, var_samp(embedding[1]::DOUBLE) AS s00, covar_samp(embedding[1]::DOUBLE, embedding[2]::DOUBLE) AS s01, var_samp(embedding[2]::DOUBLE) AS s11 FROM embeddings)"
+
+
+@query(f"WITH {_PAIR}, t AS (SELECT *, n * (s11 * m0 * m0 - 2 * s01 * m0 * m1 + s00 * m1 * m1) / (s00 * s11 - s01 * s01) AS s, (n - 1) * (power(0.05, -2.0 / (n - 2)) - 1) AS t FROM m) SELECT {_Z}, s <= t AS accepted, round(s, 4) AS statistic, round(t, 4) AS threshold FROM t")
+def hotelling_t2_of_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the first two coordinates beside each other, where SQL can follow: F with 2 and n - 2 degrees has a closed form."""
+    held = _samples(spark, sf_dir)
+    pair = Dense.of(held.df.withColumn("vec", F.slice("vec", 1, 2)), held.n_rows, 2)
+    df = stats.moments(pair).withColumn("true_mean", F.array(F.lit(0.0), F.lit(0.0)))
+    return _rounded(stats.hotelling_t2(df, held.n_rows, p=2))
 
-@query(f"WITH {_MOM} SELECT {_Z}, round(n / 2.0 * ((s00 - 1) * (s00 - 1) + 2 * s01 * s01 + (s11 - 1) * (s11 - 1)), 4) AS statistic FROM m")
+
+#: 95 % quantile of chi-squared with 64 * 65 / 2 degrees, a fixed value.
+_CHI2 = 2187.2147
+
+
+@query(f"WITH {_COV}, s AS (SELECT any_value(n) / 2.0 * sum(power(cov - CASE WHEN i = j THEN 1 ELSE 0 END, 2)) AS s FROM c) SELECT {_Z}, s <= {_CHI2} AS accepted, round(s, 3) AS statistic, round({_CHI2}, 1) AS threshold FROM s")
 def nagao_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = _samples(spark, sf_dir)
-    df = stats.moments(held).withColumn("true_cov", F.array(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(1.0))))
-    return _rounded(stats.nagao(df, held.n_rows).select("batch", "statistic"))
+    one = F.array(*(F.array(*(F.lit(float(i == j)) for j in range(_WIDE))) for i in range(_WIDE)))
+    out = stats.nagao(stats.moments(held).withColumn("true_cov", one), held.n_rows, p=_WIDE)
+    return out.select("batch", "accepted", F.round("statistic", 3).alias("statistic"), F.round("threshold", 1).alias("threshold"))
 
 
 # Sources, SQL and streams
@@ -680,14 +831,60 @@ def random_sparse_triangular(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.df.groupBy("batch").agg(F.count("*").alias("n"), F.countDistinct("row", "col").alias("places"), F.count_if(F.col("row") == F.col("col")).alias("diagonal"), F.bool_and(F.col("row") >= F.col("col")).alias("inside"))
 
 
-@query("SELECT 60::BIGINT AS rows, true AS dominant, true AS symmetric")
+@query("SELECT b::BIGINT AS batch, 60::BIGINT AS rows, true AS dominant, true AS symmetric FROM range(2) r(b)")
 def random_spd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = random.make_spd(spark, 60, 0.3, seed=4).df
+    df = random.make_spd(spark, 60, 0.3, seed=4, n_batch=2).df
     size = F.when(F.col("row") == F.col("col"), F.col("val")).otherwise(-F.abs("val"))
-    rows = df.groupBy("row").agg(F.sum(size).alias("gap"))
-    other = df.select(F.col("col").alias("row"), F.col("row").alias("col"), F.col("val").alias("v"))
-    same = df.join(other, ["row", "col"], "left").agg(F.bool_and(F.coalesce(F.col("val") == F.col("v"), F.lit(False))).alias("symmetric"))
-    return rows.agg(F.count("*").alias("rows"), F.bool_and(F.col("gap") > 0.5).alias("dominant")).crossJoin(same)
+    rows = df.groupBy("batch", "row").agg(F.sum(size).alias("gap")).groupBy("batch").agg(F.count("*").alias("rows"), F.bool_and(F.col("gap") > 0.5).alias("dominant"))
+    other = df.select("batch", F.col("col").alias("row"), F.col("row").alias("col"), F.col("val").alias("v"))
+    same = df.join(other, ["batch", "row", "col"], "left").groupBy("batch").agg(F.bool_and(F.coalesce(F.col("val") == F.col("v"), F.lit(False))).alias("symmetric"))
+    return rows.join(same, "batch")
+
+
+_SHAPES = "SELECT u::BOOLEAN AS upper, s::BOOLEAN AS strict, 500::BIGINT AS n, CASE WHEN s = 1 THEN 0 ELSE 80 END::BIGINT AS diagonal, true AS inside FROM range(2) a(u), range(2) b(s)"
+
+
+@query(_SHAPES)
+def random_triangular_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strict and not, upper and lower, by way of the compressed layout and back."""
+    out = None
+    for upper in (False, True):
+        for strict in (False, True):
+            csr = api.rand_sparse_tri(spark, 80, 500, layout="csr", upper=upper, strict=strict, seed=4)
+            df = layout.from_csr(csr, 80, 80).df
+            within = F.col("row") <= F.col("col") if upper else F.col("row") >= F.col("col")
+            part = df.agg(F.count("*").alias("n"), F.count_if(F.col("row") == F.col("col")).alias("diagonal"), F.bool_and(within).alias("inside"))
+            part = part.select(F.lit(upper).alias("upper"), F.lit(strict).alias("strict"), "n", "diagonal", "inside")
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("SELECT i::BIGINT AS row, 25::BIGINT AS n FROM range(40) r(i) WHERE false UNION ALL SELECT -1, 1000")
+def random_csr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries that the compressed layout of a random matrix holds."""
+    csr = api.rand_sparse(spark, 40, 50, 1000, layout="csr", seed=5)
+    return csr.agg(F.lit(-1).cast("long").alias("row"), F.sum(F.size("cols")).cast("long").alias("n"))
+
+
+@query(f"WITH {_BIDIR} SELECT axis::INTEGER AS axis, {_Z}, string_agg(round(lse, 3)::DECIMAL(18, 3)::VARCHAR, ',' ORDER BY idx) AS lses FROM l GROUP BY 1")
+def lse_bidir_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = reduce.bidir_logsumexp(t.discounts(spark, sf_dir), layout="nested")
+    return out.select("axis", "batch", F.array_join(F.transform("lses", lambda x: F.round(x, 3).cast("decimal(18,3)").cast("string")), ",").alias("lses"))
+
+
+_VOLUME = "v AS (SELECT vc * 12 + vy * 4 + vx AS row, * FROM range(2) a(vc), range(3) d(vy), range(4) e(vx))"
+_NEAR = "o AS (SELECT * FROM (VALUES (0, 0, 0), (0, -1, 0), (0, 0, -1)) t(c, y, x))"
+
+
+@query(f"WITH {_VOLUME}, {_NEAR}, k AS (SELECT row_number() OVER (ORDER BY NOT (c = 0 AND y = 0 AND x = 0), 100 * c * c + y * y + x * x, abs(c), abs(y), abs(x), c >= 0, y >= 0, x >= 0) - 1 AS id, * FROM o) SELECT b::BIGINT AS batch, row, row - (c * 12 + y * 4 + x) AS col, ((id * 13 + row * 7 + b) % 10)::DOUBLE AS val FROM v, k, range(2) r(b) WHERE vc - c BETWEEN 0 AND 1 AND vy - y BETWEEN 0 AND 2 AND vx - x BETWEEN 0 AND 3")
+def encoder_batched_upper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches, the diagonal and the upper side, channels among themselves; by the deprecated name."""
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", DeprecationWarning)
+        e = api.PairwiseVoxelEncoder(1, (2, 3, 4), diag=True, upper=True, relation="intra")
+    cells = grid(spark, batch=2, offset_id=len(e.offsets), row=e.size)
+    val = ((F.col("offset_id") * 13 + F.col("row") * 7 + F.col("batch")) % 10).cast("double")
+    return e.encode(cells.select("batch", F.col("offset_id").cast("int").alias("offset_id"), "row", val.alias("val")), 2).df
 
 
 @query(f"WITH {_D} SELECT {_Z}, row, col, round(val, 4) AS val FROM d")

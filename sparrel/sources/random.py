@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..frames import Sparse, grid, index
+from ..frames import Sparse, grid
 
-WALKS, ROUNDS = 24, 4
+WALKS, PASSES, ROUNDS = 24, 8, 4
 
 
 def _mixed(x: Column, seed: int, salt: int) -> Column:
@@ -26,8 +26,8 @@ def unit(seed: int, *keys: str | Column) -> Column:
 def permuted(df: DataFrame, column: str, cells: int, seed: int, batch: str = "batch") -> DataFrame:
     """Replaces 0 <= column < cells by its image under the permutation of that batch.
 
-    The network's domain is less than four times the cells, so 24 walks leave one of 1000 values outside; what is still
-    outside walks on in a second pass, until none is.
+    The network's domain is at most four times the cells, so of 24 walks one in 1000 values stays outside, and of all the
+    ``PASSES`` one in 1e24; such a value is an error, never an entry outside.
     """
     half = max(1, (max(cells - 1, 1).bit_length() + 1) // 2)
     mask = (1 << half) - 1
@@ -41,9 +41,9 @@ def permuted(df: DataFrame, column: str, cells: int, seed: int, batch: str = "ba
         return F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), x, lambda v, _: F.when(v < cells, v).otherwise(once(v)))
 
     first = df.withColumn(column, once(F.col(column).cast("long")))
-    for _ in range(4):
+    for _ in range(PASSES):
         first = first.withColumn(column, walk(F.col(column)))
-    return first
+    return first.withColumn(column, F.when(F.col(column) < cells, F.col(column)).otherwise(F.raise_error(F.lit("a place has not come inside")).cast("long")))
 
 
 def _check(nnz: int, least: int, most: int) -> None:
@@ -83,11 +83,11 @@ def rand_sparse_tri(spark: SparkSession, n: int, nnz: int, n_batch: int = 1, upp
     return Sparse(cells.withColumn("val", value), n, n, n_batch)
 
 
-def make_spd(spark: SparkSession, n: int, density: float = 0.5, seed: int = 0) -> Sparse:
+def make_spd(spark: SparkSession, n: int, density: float = 0.5, seed: int = 0, n_batch: int = 1) -> Sparse:
     """Symmetric positive definite by diagonal dominance: pairs below the diagonal, mirrored, and row sums of sizes plus one."""
     inside = n * (n - 1) // 2
-    off = rand_sparse_tri(spark, n, round(density * inside), upper=False, strict=True, seed=seed, value_range=(-1.0, 1.0)).df
+    off = rand_sparse_tri(spark, n, round(density * inside), n_batch, upper=False, strict=True, seed=seed, value_range=(-1.0, 1.0)).df
     both = off.unionByName(off.select("batch", F.col("col").alias("row"), F.col("row").alias("col"), "val"))
     sums = both.groupBy("batch", "row").agg(F.sum(F.abs("val")).alias("s"))
-    diagonal = index(spark, n, "row").withColumn("batch", F.lit(0).cast("long")).join(sums, ["batch", "row"], "left")
-    return Sparse(both.unionByName(diagonal.select("batch", "row", F.col("row").alias("col"), (F.coalesce("s", F.lit(0.0)) + 1.0).alias("val"))), n, n)
+    diagonal = grid(spark, batch=n_batch, row=n).join(sums, ["batch", "row"], "left")
+    return Sparse(both.unionByName(diagonal.select("batch", "row", F.col("row").alias("col"), (F.coalesce("s", F.lit(0.0)) + 1.0).alias("val"))), n, n, n_batch)

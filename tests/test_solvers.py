@@ -148,7 +148,83 @@ def test_triangular_guards(spark):
 def test_systems_that_are_too_large_for_a_task(spark, monkeypatch):
     monkeypatch.setattr(solve, "LOCAL_ENTRIES", 5)
     with pytest.raises(ValueError, match="distributed"):
-        solve.generic_solve(from_full(spark, spd(4)), dense(spark, (1, 4, 1))[0])
+        solve.generic_solve(from_full(spark, spd(4)), dense(spark, (1, 4, 1))[0], tier="local")
+    with pytest.raises(ValueError, match="no form over frames"):
+        solve.generic_solve(from_full(spark, spd(4)), dense(spark, (1, 4, 1))[0], "minres")
+    monkeypatch.setattr(solve, "LOCAL_ENTRIES", 5_000)
+    monkeypatch.setattr(solve, "LOCAL_CELLS", 3)
+    with pytest.raises(ValueError, match="numbers of a side"):
+        solve.generic_solve(from_full(spark, spd(4)), dense(spark, (1, 4, 1))[0], tier="local")
+
+
+@pytest.mark.parametrize(("upper", "transpose", "unit"), [(False, False, False), (True, False, True), (False, True, True), (True, True, False)])
+def test_triangular_by_blocks(spark, monkeypatch, upper, transpose, unit):
+    rng = np.random.default_rng(3)
+    x = np.tril(rng.normal(size=(2, 11, 11)) * (rng.random((2, 11, 11)) < 0.5), -1) * 0.3 + (0 if unit else np.eye(11) * 2)
+    x = x.transpose(0, 2, 1) if upper else x
+    b, y = dense(spark, (2, 11, 2))
+    whole = x + np.eye(11) if unit else x
+    monkeypatch.setattr(solve, "LOCAL_ENTRIES", 6)
+    out = solve.triangular_solve(from_full(spark, x), b, upper, unit, transpose)
+    assert np.allclose(arrays.to_dense(out), np.linalg.solve(whole.transpose(0, 2, 1) if transpose else whole, y))
+
+
+def test_deep_levels_go_to_blocks(spark):
+    x = np.eye(6) * 2 + np.diag([1.0] * 5, -1)
+    b, y = dense(spark, (1, 6, 2))
+    out = solve._by_levels(from_full(spark, x), b, False, False, False, most=2)
+    assert np.allclose(arrays.to_dense(out)[0], np.linalg.solve(x, y[0]))
+
+
+def test_sparse_factors_serve_both_systems(spark):
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 30):
+        x = rng.normal(size=(n, n)) * (rng.random((n, n)) < 0.3) + np.diag(rng.normal(size=n))[rng.permutation(n)] + np.eye(n) * 0.1
+        i, j = np.nonzero(x)
+        held, b = krylov.SparseLU(i, j, x[i, j], n), rng.normal(size=(n, 3))
+        assert np.allclose(held.solve(b), np.linalg.solve(x, b)) and np.allclose(held.solve_transposed(b), np.linalg.solve(x.T, b))
+    with pytest.raises(np.linalg.LinAlgError):
+        krylov.SparseLU(np.array([0, 1]), np.array([0, 0]), np.ones(2), 2)
+    x, (b, y), (g, z) = np.stack([spd(8, 1), spd(8, 2) + np.triu(np.ones((8, 8)), 3)]), dense(spark, (2, 8, 2)), dense(spark, (2, 8, 2))
+    found, da, db = solve.direct_solve_vjp(from_full(spark, x), b, g)
+    want, of_b = np.linalg.solve(x, y), np.linalg.solve(x.transpose(0, 2, 1), z)
+    assert np.allclose(arrays.to_dense(found), want) and np.allclose(arrays.to_dense(db), of_b)
+    assert np.allclose(full(da), -of_b @ want.transpose(0, 2, 1) * (x != 0))
+
+
+def test_preconditioned_minres():
+    x = spd(30) - 0.8 * np.eye(30)
+    b, m = np.random.default_rng(1).normal(size=(30, 2)), np.linspace(1, 5, 30)[:, None]
+    assert np.allclose(krylov.minres(lambda v: x @ v, b, precondition=lambda r: r / m), np.linalg.solve(x, b), atol=1e-6)
+    out = krylov.minres(lambda v: x @ v, b, shifts=[3.0], value=2.0, precondition=lambda r: r / m)
+    assert np.allclose(out[0], np.linalg.solve(2 * x + 3 * np.eye(30), b), atol=1e-6)
+    with pytest.raises(ValueError):
+        krylov.minres(lambda v: x @ v, b, shifts=[0.0, 1.0], precondition=lambda r: r)
+
+
+def test_lsmr_from_a_start():
+    rng = np.random.default_rng(5)
+    x, b, start = rng.normal(size=(12, 5)), rng.normal(size=(12, 2)), rng.normal(size=(5, 2))
+    assert np.allclose(krylov.lsmr(lambda v: x @ v, lambda v: x.T @ v, b, 5, start=start)[0], np.linalg.lstsq(x, b, rcond=None)[0])
+    wide = x.T
+    out = krylov.lsmr(lambda v: wide @ v, lambda v: wide.T @ v, b[:5, 0], 12, start=np.ones(12))[0]
+    assert np.allclose(out - 1, np.linalg.pinv(wide) @ (b[:5, 0] - wide @ np.ones(12)))
+
+
+def test_options_of_other_names():
+    assert solve.solver_options("cg", {"tol": 1e-3, "maxiter": 7, "atol": 0})["settings"] == krylov.CGSettings(tolerance=1e-3, max_iter=7)
+    assert solve.solver_options("bicgstab", {"rtol": 1e-3, "maxiter": 7, "atol": 1e-9})["settings"] == krylov.BicgstabSettings(matvecs=14, abstol=1e-9, reltol=1e-3)
+    assert solve.solver_options("gmres", {"tol": 1e-3, "maxiter": 7}) == {"tolerance": 1e-3, "cycles": 7}
+
+
+def test_steps_that_run_out(spark):
+    x = spd(12)
+    x[0, 5] += 0.3
+    a, (b, y) = from_full(spark, x), dense(spark, (1, 12, 2))
+    assert np.allclose(arrays.to_dense(solve.bicgstab_distributed(a, b, 1e-10))[0], np.linalg.solve(x, y[0]), atol=1e-6)
+    for way in (solve.cg_distributed, solve.bicgstab_distributed, solve.lstsq_distributed):
+        with pytest.raises(RuntimeError, match="steps have not reached"):
+            way(a, b, 1e-12, 1)
 
 
 @pytest.mark.parametrize("solver", solve.SOLVERS)
