@@ -582,7 +582,7 @@ def _stacked(spark: SparkSession, sf_dir: str) -> tuple[Sparse, Dense, Dense, De
     rows = held.select("row", F.col("row").alias("col"), F.lit(1.0).alias("val"))
     a = Sparse.of(rows.unionByName(rows.withColumn("row", F.col("row") + n)), 2 * n, n)
     x, y = t.solution(spark, sf_dir, 1), t.solution(spark, sf_dir, 1, salt=4)
-    moved = [x.df.withColumns({"row": F.col("row") + k * n, "vec": F.transform("vec", lambda v, d=d: v + d)}) for k, d in ((0, 1.0), (1, -1.0))]
+    moved = [x.df.withColumns({"row": F.col("row") + k * n, "vec": F.array(F.get("vec", F.lit(0)) + d)}) for k, d in ((0, 1.0), (1, -1.0))]
     return a, Dense.of(moved[0].unionByName(moved[1]), 2 * n, 1), x, y
 
 
