@@ -27,12 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import chunks, integer_key, stored, utf8
-from .words import mix, window_hashes
+from .words import byte_hashes, mix, spans, window_hashes, word_hashes
 
 WINDOW, SPAN, LITERAL, SHORTEST = 8, 13, 5, 3
 SHARES = 64
@@ -43,54 +42,74 @@ UNITS = frozenset("% $ € £ mm cm m km in ft mi mg g kg t oz lb lbs ml l ms s
 STARTERS = frozenset("a about after all although an and any are as at because before both but by can could did do does during each either every few find for from given had has have he her here his how however i if in into is it its let many may more most much my neither no not now of on one only or our over she should since so some such suppose than that the their then there these they this those through to two under until was we were what when where whether which while who whose why will with would you your".split())
 _EDGES = b"""!"'()*+,-./:;<=>?[\\]^_`{|}~"""
 _NUMBER = re.compile(rb"[0-9][0-9.,:/]*([a-z%]*)$")
-_MEMO_WORDS = 100_000
 
 
 def _plain(word: bytes) -> bytes:
     return (word.strip(_EDGES) or word).decode().lower().encode()
 
 
-class _Words(dict):
-    """Word to one signed number: a hash of its plain form, the kind it may have, whether a name goes on after it (1 bit)."""
-
-    def __missing__(self, word: bytes) -> int:
-        plain = _plain(word)
-        number = _NUMBER.match(plain)
-        said = plain.decode()
-        if number and (not number[1] or number[1].decode() in UNITS):
-            kind = NUMBER
-        elif said in UNITS:
-            kind = UNIT
-        else:
-            kind = NAME if (word.strip(_EDGES) or word).decode()[:1].isupper() and said not in STARTERS else PLAIN
-        made = xxhash.xxh3_64_intdigest(plain) & ~15 | kind << 1 | (word[-1:] not in _EDGES)
-        made -= (made >> 63) << 64
-        if len(self) >= _MEMO_WORDS:
-            self.clear()
-        self[word] = made
-        return made
-
-
-_memo = _Words()
+_IS_EDGE = np.zeros(256, dtype=bool)
+_IS_EDGE[list(_EDGES)] = True
+_UNITS, _STARTERS = (np.sort(np.concatenate([word_hashes(w.encode()) for w in words])) for words in (UNITS, STARTERS))
 #: What stands for each kind.
 _HOLDERS = mix(np.arange(1, 5, dtype=np.uint64))
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def streams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _split(raw: bytes) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """The text in lower case, the starts and ends of its words there, and whether each begins with a capital."""
+    said = raw.decode()
+    low = said.lower().encode()
+    if len(low) == len(raw):
+        starts, ends = _bare(low, *spans(low))
+        one, two = np.frombuffer(raw + b" ", dtype=np.uint8), np.frombuffer(low + b" ", dtype=np.uint8)
+        # the first character differs: its only byte, or the one after the first, as capitals share that with small letters
+        capital = np.where(one[starts] < 128, one[starts] != two[starts], (one[starts] != two[starts]) | (one[starts + 1] != two[starts + 1]))
+        return low, starts, ends, capital
+    # some letters change their size with their case, so words are turned one by one
+    words = [w.decode() for w in raw.split()]
+    low = " ".join(w.lower() for w in words).encode()
+    return low, *_bare(low, *spans(low)), np.array([w.strip(_EDGES.decode())[:1].isupper() for w in words], dtype=bool)
+
+
+def _bare(low: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words without the punctuation at their ends; words of nothing else stay whole."""
+    inner = np.flatnonzero(~_IS_EDGE[np.frombuffer(low, dtype=np.uint8)])
+    first, last = np.searchsorted(inner, starts), np.searchsorted(inner, ends) - 1
+    whole = last < first
+    at = np.append(inner, 0)
+    return np.where(whole, starts, at[first]), np.where(whole, ends, at[last] + 1)
+
+
+def streams(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the words of a text; and of its template's tokens their hashes, kinds and first words."""
-    codes = np.fromiter(map(_memo.__getitem__, words), dtype=np.int64, count=len(words)).view(np.uint64)
-    kind = ((codes >> np.uint64(1)) & np.uint64(7)).astype(np.int8)
-    literal = codes >> np.uint64(4)
-    number = np.zeros(len(codes), dtype=bool)
+    low, starts, ends, name = _split(raw)
+    if not len(starts):
+        return *(np.zeros(0, np.uint64),) * 2, np.zeros(0, np.int8), np.zeros(0, np.int64)
+    literal = byte_hashes(low, starts, ends)
+    signs = np.frombuffer(low + b" ", dtype=np.uint8)
+    kind = np.where(name & ~_among(literal, _STARTERS), NAME, PLAIN).astype(np.int8)
+    kind[_among(literal, _UNITS)] = UNIT
+    for k in np.flatnonzero((signs[starts] >= 48) & (signs[starts] <= 57)).tolist():
+        number = _NUMBER.match(low, int(starts[k]), int(ends[k]))
+        if number and (not number[1] or number[1].decode() in UNITS):
+            kind[k] = NUMBER
+    number = np.zeros(len(kind), dtype=bool)
     number[1:] = kind[:-1] == NUMBER
     kind[(kind == UNIT) & ~number] = PLAIN
     name = kind == NAME
-    first = np.ones(len(codes), dtype=bool)
-    first[1:] = ~(name[1:] & name[:-1] & (codes[:-1] & np.uint64(1)).astype(bool))
-    starts = np.flatnonzero(first)
-    kinds = kind[starts]
-    return literal, np.where(kinds == PLAIN, literal[starts], _HOLDERS[kinds]), kinds, starts
+    first = np.ones(len(kind), dtype=bool)
+    # a name goes on where nothing but a blank stands between its words
+    first[1:] = ~(name[1:] & name[:-1] & ~_IS_EDGE[signs[ends[:-1]]])
+    at = np.flatnonzero(first)
+    kinds = kind[at]
+    return literal, np.where(kinds == PLAIN, literal[at], _HOLDERS[kinds]), kinds, at
+
+
+def _among(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of the hashes are known, of a few in rising order."""
+    at = np.searchsorted(known, hashes)
+    return known[np.minimum(at, len(known) - 1)] == hashes
 
 
 def _rich(kinds: np.ndarray, width: int) -> np.ndarray:
@@ -113,7 +132,7 @@ def _least(low: np.ndarray) -> np.ndarray:
 
 def _marks(raw: bytes, short: list[int], short_tokens: list[int]) -> np.ndarray:
     """The hashes that stand for a text: of neighbours the least, and every window of the short items' lengths."""
-    literal, tokens, kinds, _ = streams(raw.split())
+    literal, tokens, kinds, _ = streams(raw)
     template = lambda n: np.where(_rich(kinds, n), window_hashes(tokens, n), _NONE)
     out = [_least(window_hashes(literal, WINDOW)), _least(template(WINDOW)), *(window_hashes(literal, n) for n in short), *(template(n) for n in short_tokens)]
     out = np.unique(np.concatenate(out))
@@ -135,7 +154,7 @@ def _short(items: DataFrame) -> tuple[list[int], list[int]]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            found = [(len(s[0]), len(s[1])) for s in (streams(x.split()) for x in utf8(batch, "text")) if len(s[0]) >= SHORTEST]
+            found = [(len(s[0]), len(s[1])) for s in (streams(x) for x in utf8(batch, "text")) if len(s[0]) >= SHORTEST]
             yield pa.RecordBatch.from_arrays([pa.array([min(x[k], SPAN) for x in found], pa.int64()) for k in (0, 1)], names=["words", "tokens"])
 
     rows = items.mapInArrow(run, "words long, tokens long").distinct().collect()
@@ -182,7 +201,7 @@ def aligned(doc: bytes, item: bytes) -> tuple[int, int, bool]:
     n = len(iw)
     if n < SHORTEST:
         return 0, n, False
-    (dl, dt, _, ds), (il, it, kinds, starts) = streams(dw), streams(iw)
+    (dl, dt, _, ds), (il, it, kinds, starts) = streams(doc), streams(item)
     same, covered = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
     for a, b, _ in _runs(dl, il, min(SPAN, n)):
         same[a:b] = True
@@ -209,7 +228,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     met = stored(_mark_rows(docs, *short).join(sought, "mark").select("id", "item").distinct(), "met")
     said = met.join(items.select(F.col("id").alias("item"), F.col("text").alias("item_text")), "item")
     lists = said.groupBy("id", F.pmod(F.xxhash64("item"), F.lit(SHARES)).alias("share")).agg(F.collect_list(F.struct("item", "item_text")).alias("items"))
-    pairs = docs.join(lists, "id").select("id", "text", "items")
+    # the ids alone choose the documents, so only those that met an item are shuffled to their lists
+    pairs = docs.join(met.select("id").distinct(), "id").join(lists, "id").select("id", "text", "items")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):

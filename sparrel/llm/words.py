@@ -50,11 +50,8 @@ def spans(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def word_hashes(raw: bytes) -> np.ndarray:
-    """A 64-bit hash of each word of a text."""
-    starts, ends = spans(raw)
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
+def byte_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes from each start to before its end, wherever they stand."""
     up, down = _bytes.upto(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, dtype=np.uint64)
     values = np.frombuffer(raw, dtype=np.uint8).astype(np.uint64) + np.uint64(1)
@@ -62,6 +59,12 @@ def word_hashes(raw: bytes) -> np.ndarray:
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def word_hashes(raw: bytes) -> np.ndarray:
+    """A 64-bit hash of each word of a text."""
+    starts, ends = spans(raw)
+    return byte_hashes(raw, starts, ends) if len(starts) else np.zeros(0, dtype=np.uint64)
+
+
 def span_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the words from each start to before its end."""
     up, down = _words.upto(len(words) + 1)
