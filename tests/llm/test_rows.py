@@ -215,3 +215,16 @@ def test_samples_keep_the_keys_of_repeated_rows(spark):
     assert {r.k for r in tables.sample(df, "k", 100).collect()} == set(range(50))
     many = tables.sample(spark.range(5000).unionAll(spark.range(5000)), "id", 200).collect()
     assert len(many) == len({r.id for r in many}) == 200
+
+
+def test_repeated_labels_and_urls_give_the_model_of_distinct_ones(spark):
+    """Each row a thousand times: the bound is on distinct rows, so none is lost."""
+    rng = random.Random(7)
+    texts = [(k, " ".join(f"w{rng.randrange(10**6)}" + "###" * (k % 2) for _ in range(60))) for k in range(60)]
+    docs, labels = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(k, 1 - k % 2) for k in range(60)], "doc_id long, quality int")
+    many = labels.crossJoin(spark.range(1000).select(F.lit(1).alias("one"))).drop("one")
+    rules = quality.fit(docs, labels)
+    assert rules and quality.fit(docs, many) == rules
+    urls_ = spark.createDataFrame([(f"http://{'bad' if k % 2 else 'good'}{k}.org/{k}", k % 2) for k in range(300)], "url string, label int")
+    one, two = urls.fit(urls_), urls.fit(urls_.crossJoin(spark.range(1000).select(F.lit(1).alias("one"))).drop("one"))
+    assert one.bias == two.bias and np.array_equal(one.weights, two.weights) and np.abs(one.weights).max() > 0
