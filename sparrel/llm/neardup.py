@@ -167,10 +167,11 @@ def verified(left: list[tuple[np.ndarray, np.ndarray]], right: list[tuple[np.nda
     return found
 
 
-def _compared(cast: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+def _compared(cast: DataFrame, bodies: DataFrame, least: float) -> DataFrame:
     """Links (a, b) from ``cast`` (bucket, node, label, part, low, high): a node of a part meets those of parts low to high.
 
     A pair of parts is a task; within one part, all its pairs. A task whose nodes all have one label has no rows.
+    ``bodies`` (node, text) has the texts of all nodes.
     """
 
     def verify(key: tuple, rows: pa.Table) -> pa.Table:
@@ -184,8 +185,7 @@ def _compared(cast: DataFrame, docs: DataFrame, least: float) -> DataFrame:
         found = [(ids[one[i]], ids[(one if p == q else two)[j]]) for i, j in pairs]
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    bodies = cast.join(docs, cast.node == docs.id).select("bucket", "node", "label", "part", "low", "high", "text")
-    met = bodies.select("bucket", "node", "label", "part", "text", F.explode(F.sequence("low", "high")).alias("other"))
+    met = cast.join(bodies.hint("merge"), "node").select("bucket", "node", "label", "part", "text", F.explode(F.sequence("low", "high")).alias("other"))
     met = met.select("bucket", "node", "label", "part", "text", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
     return met.groupBy("bucket", "p", "q").applyInArrow(verify, "a long, b long")
 
@@ -240,9 +240,12 @@ def links(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str =
     banded = nodes.select("node", "size", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     shared = stored(banded.join(buckets, "band"), "shared")
-    stars = stored(_compared(_stars(shared), docs, least), "links")
-    rest = stored(_compared(_rest(shared, components(stars)), docs, least), "links")
-    forget(shared, nodes)
+    # all texts are shuffled once, at any size; both steps read those of nodes that share a band, and no others
+    wanted = shared.select(F.col("node").alias("id")).distinct()
+    bodies = stored(docs.join(wanted.hint("merge"), "id").select(F.col("id").alias("node"), "text"), "bodies")
+    stars = stored(_compared(_stars(shared), bodies, least), "links")
+    rest = stored(_compared(_rest(shared, components(stars)), bodies, least), "links")
+    forget(shared, nodes, bodies)
     return members, stars.union(rest)
 
 
