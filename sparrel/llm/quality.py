@@ -7,8 +7,8 @@ log precision, then pruned from its end on the other third; rules that are preci
 that a rule covers go, and the next one is sought. The verdict is a chain of ``when``: the first rule that fits rejects.
 
 The learner runs on the driver over the statistics of at most ``SAMPLE`` labelled rows, the least by a hash of their
-key; it is the one bounded sample here. No Python runs on the executors. Two windows of three words count as equal if
-their 64-bit hashes are.
+key; it is the one bounded sample here. Of documents that repeat a labelled key, the one of least ratios speaks. No
+Python runs on the executors. Two windows of three words count as equal if their 64-bit hashes are.
 
 Null texts have no words and fail the base rule. Rows are independent: keys may be null or repeat, and the columns that
 a frame has beside its text do not matter unless they bear a statistic's name, when the statistic replaces them in
@@ -160,12 +160,13 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         known[r.id] = min(r.label, known.get(r.id, r.label))
     if len(set(known.values())) < 2:
         return []
-    # at most SAMPLE keys of eight bytes: their bound is proven
-    wanted = docs.sparkSession.createDataFrame([(i,) for i in known], "id long")
+    # at most SAMPLE keys: their bound is proven
+    wanted = docs.sparkSession.createDataFrame([(i,) for i in known], f"id {labels.schema[key].dataType.simpleString()}")
     rows = with_statistics(docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(wanted), "id"), "text")
     ratios = [(F.col(a) / F.greatest(F.col(b), F.lit(1))).alias(name) for name, (a, b) in RATIOS.items()]
-    found = rows.where(~base_failed()).select("id", *ratios).collect()
-    return learn([{**r.asDict(), "bad": int(known[r.id] == 0)} for r in sorted(found, key=lambda r: (r.id, r[1:]))])
+    # one row for each key, the least, so rows that repeat a key are never gathered
+    found = rows.where(~base_failed()).groupBy("id").agg(F.min(F.struct(*ratios)).alias("ratios")).collect()
+    return learn([{**r.ratios.asDict(), "bad": int(known[r.id] == 0)} for r in sorted(found, key=lambda r: r.id)])
 
 
 def base_failed() -> Column:
