@@ -270,9 +270,12 @@ def trained(x: np.ndarray | None = None, y: np.ndarray | None = None) -> Trees:
 
 def sampled(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of candidates of a bounded sample of the documents, in an order that a hash gives."""
-    h = F.xxhash64(text)
-    share = min(1.0, 2 * SAMPLE_DOCS / max(1, docs.count()))
-    few = docs.where(F.col(text).isNotNull() & (F.pmod(h, F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))).select(h.alias("h"), F.col(text).alias("text"))
+    known = docs.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    # the share is one of distinct texts, so copies take no place of others; twice as many as wanted outweigh the estimate's error
+    share = min(1.0, 2 * SAMPLE_DOCS / max(1, known.agg(F.approx_count_distinct("h")).first()[0]))
+    few = known.where(F.pmod("h", F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+    # hashes alone choose, so no task gathers the texts
+    last = few.select("h").distinct().orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
@@ -280,7 +283,7 @@ def sampled(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarray
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.float64())), pa.array([r[2] for r in rows], pa.int64())], names=["h", "x", "y"])
 
     # one text for each hash, so that copies weigh as one; the rows of one text stay together
-    rows = few.groupBy("h").agg(F.first("text").alias("text")).orderBy("h").limit(SAMPLE_DOCS).mapInArrow(run, "h long, x array<double>, y long").orderBy("h", "x", "y").limit(SAMPLE).collect()
+    rows = few.where(F.col("h") <= F.lit(last)).groupBy("h").agg(F.first("text").alias("text")).mapInArrow(run, "h long, x array<double>, y long").orderBy("h", "x", "y").limit(SAMPLE).collect()
     return np.array([r.x for r in rows]).reshape(-1, FEATURES), np.array([r.y for r in rows], dtype=float)
 
 

@@ -133,6 +133,18 @@ def test_trees_are_fitted_on_the_documents(spark):
     assert pii.fit(spark.createDataFrame([(1, None)], "doc_id long, text string")).least == pii.trained().least
 
 
+def test_copies_take_no_place_in_the_sample(spark, monkeypatch):
+    """Ten texts, one of them ten thousand times: the bound is on distinct texts, so all ten are read."""
+    monkeypatch.setattr(pii, "SAMPLE_DOCS", 20)
+    texts = [f'token = "{hashlib.sha256(str(k).encode()).hexdigest()}" here' for k in range(10)]
+    some = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    many = some.union(spark.range(10_000).select(F.col("id") + 10, F.lit(texts[0])))
+    (x, y), (x2, y2) = pii.sampled(some), pii.sampled(many)
+    assert len(y) == 20 and np.array_equal(x, x2) and np.array_equal(y, y2)
+    monkeypatch.setattr(pii, "SAMPLE_DOCS", 4)
+    assert len(pii.sampled(some)[1]) <= 8
+
+
 def test_find_and_redact(spark):
     rows = [(1, "mail bob@x.org or +1 (988) 555-2485 now"), (None, None), (2, ""), (2, "é 10.0.0.1 é"), (3, "plain words only"), (3, "plain words only")]
     df = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, kind string")
@@ -225,6 +237,9 @@ def test_repeated_labels_and_urls_give_the_model_of_distinct_ones(spark):
     many = labels.crossJoin(spark.range(1000).select(F.lit(1).alias("one"))).drop("one")
     rules = quality.fit(docs, labels)
     assert rules and quality.fit(docs, many) == rules
+    assert quality.fit(docs.union(docs).union(docs.where("doc_id = 1")), labels) == rules
+    named = [df.withColumn("doc_id", F.format_string("k%02d", "doc_id")) for df in (docs, labels)]
+    assert quality.fit(*named)
     urls_ = spark.createDataFrame([(f"http://{'bad' if k % 2 else 'good'}{k}.org/{k}", k % 2) for k in range(300)], "url string, label int")
     one, two = urls.fit(urls_), urls.fit(urls_.crossJoin(spark.range(1000).select(F.lit(1).alias("one"))).drop("one"))
     assert one.bias == two.bias and np.array_equal(one.weights, two.weights) and np.abs(one.weights).max() > 0
