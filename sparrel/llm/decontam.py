@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -177,40 +178,62 @@ def _consistent(item: list[bytes], doc: list[bytes], slots: np.ndarray) -> list[
     return [*parts, (start, len(item))]
 
 
-def _runs(doc: np.ndarray, item: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
+class Read:
+    """A document, read once for all the items that it meets: its words, its template and the places of their windows."""
+
+    def __init__(self, raw: bytes) -> None:
+        self.words = raw.split()
+        self.literal, self.tokens, _, self.starts = streams(raw)
+        self._windows: dict[tuple[bool, int], tuple[np.ndarray, np.ndarray]] = {}
+
+    @cached_property
+    def plain(self) -> list[bytes]:
+        return list(map(_plain, self.words))
+
+    def windows(self, literal: bool, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of its windows, and their places in the order of hash, then place."""
+        if (literal, width) not in self._windows:
+            own = window_hashes(self.literal if literal else self.tokens, width)
+            self._windows[literal, width] = own, np.argsort(own, kind="stable")
+        return self._windows[literal, width]
+
+
+def _runs(doc: Read, literal: bool, item: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
     """(start in the item, stop, shift) of the stretches of at least so many equal hashes."""
     at: dict[int, list[int]] = {}
     for k, h in enumerate(window_hashes(item, least).tolist()):
         at.setdefault(h, []).append(k)
-    own = window_hashes(doc, least)
+    said, (own, order) = doc.literal if literal else doc.tokens, doc.windows(literal, least)
+    wanted = np.fromiter(at, dtype=np.uint64, count=len(at))
+    low, high = (np.searchsorted(own, wanted, side, sorter=order).tolist() for side in ("left", "right"))
     reached: dict[int, int] = {}
-    for d in np.flatnonzero(np.isin(own, np.fromiter(at, dtype=np.uint64, count=len(at)))).tolist():
+    for d in np.sort(np.concatenate([order[:0], *(order[a:b] for a, b in zip(low, high, strict=True))])).tolist():
         for k in at[int(own[d])]:
             shift = d - k
             if reached.get(shift, -1) < d:
-                end = min(len(doc), shift + len(item))
-                differ = np.flatnonzero(doc[d:end] != item[k : end - shift])
+                end = min(len(said), shift + len(item))
+                differ = np.flatnonzero(said[d:end] != item[k : end - shift])
                 stop = d + int(differ[0]) if len(differ) else end
                 reached[shift] = stop - least
                 yield k, stop - shift, shift
 
 
-def aligned(doc: bytes, item: bytes) -> tuple[int, int, bool]:
+def aligned(doc: bytes | Read, item: bytes) -> tuple[int, int, bool]:
     """(words of the item that runs of the document cover, words of the item, whether some are covered with other values only)."""
-    dw, iw = doc.split(), item.split()
+    iw = item.split()
     n = len(iw)
     if n < SHORTEST:
         return 0, n, False
-    (dl, dt, _, ds), (il, it, kinds, starts) = streams(doc), streams(item)
+    doc, (il, it, kinds, starts) = doc if isinstance(doc, Read) else Read(doc), streams(item)
     same, covered = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
-    for a, b, _ in _runs(dl, il, min(SPAN, n)):
+    for a, b, _ in _runs(doc, True, il, min(SPAN, n)):
         same[a:b] = True
     least, plain = min(SPAN, len(it)), np.concatenate([[0], np.cumsum(kinds == PLAIN)])
     if not same.all() and plain[-1] >= LITERAL:
-        dp, ip = list(map(_plain, dw)), list(map(_plain, iw))
-        ends, doc_ends = np.append(starts[1:], n), np.append(ds[1:], len(dw))
+        dp, ip, ds = doc.plain, list(map(_plain, iw)), doc.starts
+        ends, doc_ends = np.append(starts[1:], n), np.append(ds[1:], len(dp))
         value = lambda words, first, last, k: b" ".join(words[first[k] : last[k]])
-        for a, b, shift in _runs(dt, it, least):
+        for a, b, shift in _runs(doc, False, it, least):
             item_values = [value(ip, starts, ends, k) for k in range(a, b)]
             doc_values = [value(dp, ds, doc_ends, k + shift) for k in range(a, b)]
             for p, q in _consistent(item_values, doc_values, kinds[a:b] != PLAIN):
@@ -233,7 +256,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            rows = [(i, s["item"], *aligned(body, (s["item_text"] or "").encode())) for i, body, own in zip(batch.column("id").to_pylist(), utf8(batch, "text"), batch.column("items").to_pylist(), strict=True) for s in own]
+            rows = [(i, s["item"], *aligned(doc, (s["item_text"] or "").encode())) for i, doc, own in zip(batch.column("id").to_pylist(), map(Read, utf8(batch, "text")), batch.column("items").to_pylist(), strict=True) for s in own]
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["id", "item", "matched_words", "item_words", "changed_slots"])
 

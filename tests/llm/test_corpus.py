@@ -183,6 +183,19 @@ def test_slots_must_stand_one_for_one():
         assert set(decontam._consistent(item, doc, np.array(slots))) >= _consistent_by_trial(item, doc, slots)
 
 
+def test_a_document_is_read_once_for_all_items():
+    """Items that share a passage with one document: each gets what it would get alone."""
+    rng = random.Random(5)
+    lead = " ".join(f"w{k}" for k in range(14))
+    items = [f"{lead} Anna has {rng.randrange(99)} apples and gives {k} of them to Bob before the end of day".encode() for k in range(40)] + [b"", b"same " * 20, lead.encode()]
+    doc = (f"x {lead} Emma has 7 apples and gives 3 of them to Carl before the end of day " + "same " * 300).encode()
+    read = decontam.Read(doc)
+    got = [decontam.aligned(read, x) for x in items]
+    assert got == [decontam.aligned(doc, x) for x in items]
+    assert all(m == n for m, n, _ in got[-2:]) and got[-3] == (0, 0, False) and all(m >= 14 for m, *_ in got[:40]) and any(c for *_, c in got)
+    assert decontam.aligned(b"", items[0])[0] == 0
+
+
 def test_empty_sides(spark):
     docs, items = spark.createDataFrame([(1, ITEM)], "doc_id long, text string"), spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     assert decontam.contaminated(docs.where("false"), items).count() == decontam.contaminated(docs, items.where("false")).count() == 0
